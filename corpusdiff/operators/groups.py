@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusdiff.operators.ranks import distributed_rank
 from corpusdiff.operators.scoring import REASON_TYPE, match_reasons, short_reasons
 from corpusdiff.rules import RuleSet
 
@@ -284,3 +285,35 @@ def display_groups(groups: DataFrame, rules: RuleSet) -> DataFrame:
     )
 
 
+
+
+def title_groups(titles: DataFrame, per_side: int = 2, min_length: int = 8) -> DataFrame:
+    """Groups of all articles whose canonical titles are equal, without forming their pairs.
+
+    ``titles`` holds (issue_date, side, id, pos, page_number, ctitle, cyear, ignorable). Without decisions every pair of
+    one title has the same confidence, and splitting the complete set of pairs in article order under the group bounds
+    keeps the k-th two articles of the left with the k-th two of the right. So the groups follow from ranks alone, for
+    any number of articles. Titles that occur with different leading years are grouped per year.
+    """
+    usable = titles.filter((F.length("ctitle") >= min_length) & ~F.col("ignorable")).withColumn(
+        "cyear", F.coalesce("cyear", F.lit(""))
+    )
+    key = ["issue_date", "ctitle", "cyear"]
+    ranked = distributed_rank(usable.select(*key, "side", "pos", "id", "page_number"), [*key, "side"], ["pos", "id"])
+    numbered = ranked.withColumn("part", F.floor((F.col("rank") - 1) / per_side))
+    item = F.struct("page_number", "id")
+    groups = numbered.groupBy(*key, "part").agg(
+        F.array_sort(F.collect_list(F.when(F.col("side") == "left", item))).alias("l"),
+        F.array_sort(F.collect_list(F.when(F.col("side") == "right", item))).alias("r"),
+    )
+    ids = lambda c: F.transform(c, lambda s: s["id"])
+    return groups.filter((F.size("l") > 0) & (F.size("r") > 0)).select(
+        F.concat(F.lit("matched:"), F.array_join(ids("l"), "+"), F.lit(":"), F.array_join(ids("r"), "+")).alias("group_id"),
+        "issue_date",
+        F.lit("same_event").alias("match_type"),
+        F.lit(0.92).alias("confidence"),
+        F.array("ctitle").alias("shared_terms"),
+        ids("l").alias("left_articles"),
+        ids("r").alias("right_articles"),
+        F.coalesce(F.get("l", F.lit(0))["page_number"], F.get("r", F.lit(0))["page_number"]).alias("page_number"),
+    )

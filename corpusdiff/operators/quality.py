@@ -62,18 +62,31 @@ def _found(terms: str, titles: str, every: bool) -> Column:
     return test(terms, lambda term: F.exists(titles, lambda title: F.contains(title, term)))
 
 
-def match_expectations(titles: DataFrame, expectations: DataFrame, mode: str = "all") -> DataFrame:
-    """Expectations × groups of their date whose titles hold the terms: all of them, or any of each side.
+MAX_GLOBAL_RULES = 1_000
+
 
-    Expectations without a date hold for every date. They are a hand-written list; the plan broadcasts it only while
-    it is small.
+def on_dates(rules: DataFrame, titles: DataFrame) -> DataFrame:
+    """Rules next to the groups they apply to: by date, or all groups for rules without a date.
+
+    Dated rules are an equality join. Undated ones are written by hand; more than ``MAX_GLOBAL_RULES`` are refused.
     """
+    dated = rules.filter("issue_date IS NOT NULL").join(titles, "issue_date")
+    undated = rules.filter("issue_date IS NULL").drop("issue_date")
+    n = undated.limit(MAX_GLOBAL_RULES + 1).count()
+    if n > MAX_GLOBAL_RULES:
+        raise ValueError(f"more than {MAX_GLOBAL_RULES} rules without a date")
+    if n == 0:
+        return dated
+    packed = undated.agg(F.collect_list(F.struct(*undated.columns)).alias("rules_")).withColumn("one_", F.lit(1))
+    every = titles.withColumn("one_", F.lit(1)).join(F.broadcast(packed), "one_").select("*", F.inline("rules_"))
+    return dated.unionByName(every.drop("one_", "rules_"))
+
+
+def match_expectations(titles: DataFrame, expectations: DataFrame, mode: str = "all") -> DataFrame:
+    """Expectations and the groups whose titles hold their terms: all terms, or any term of each side."""
     every = mode == "all"
-    e, g = expectations.alias("e"), titles.alias("g")
-    same_date = F.col("e.issue_date").isNull() | (F.col("e.issue_date") == F.col("g.issue_date"))
-    return e.join(g, same_date & _found("left_terms", "left_titles", every) & _found("right_terms", "right_titles", every)).select(
-        "g.issue_date", "g.group_id", "e.label"
-    )
+    hit = _found("left_terms", "left_titles", every) & _found("right_terms", "right_titles", every)
+    return on_dates(expectations, titles).filter(hit).select("issue_date", "group_id", "label")
 
 
 def check_expected(groups: DataFrame, titles: DataFrame, dates: DataFrame, expectations: DataFrame) -> DataFrame:
@@ -94,13 +107,10 @@ def check_expected(groups: DataFrame, titles: DataFrame, dates: DataFrame, expec
 def check_forbidden(titles: DataFrame, rules: DataFrame) -> DataFrame:
     """Violations of forbidden title pairs and forbidden title terms."""
     pairs = match_expectations(titles, rules.filter("kind = 'forbidden_pair'"), mode="any")
-    terms = rules.filter("kind = 'forbidden_term'").alias("e")
-    g = titles.alias("g")
     both = F.concat("left_titles", "right_titles")
     any_term = F.exists("left_terms", lambda term: F.exists(both, lambda title: F.contains(title, term)))
-    same_date = F.col("e.issue_date").isNull() | (F.col("e.issue_date") == F.col("g.issue_date"))
-    in_title = terms.join(g, same_date & any_term).select("g.issue_date", "g.group_id", "e.label")
-    return pairs.withColumn("failure", F.lit("forbidden_pair")).unionByName(in_title.withColumn("failure", F.lit("forbidden_term")))
+    terms = on_dates(rules.filter("kind = 'forbidden_term'"), titles).filter(any_term).select("issue_date", "group_id", "label")
+    return pairs.withColumn("failure", F.lit("forbidden_pair")).unionByName(terms.withColumn("failure", F.lit("forbidden_term")))
 
 
 def diagnose(groups: DataFrame, members: DataFrame, stored: DataFrame | None = None, threshold: int = 6) -> DataFrame:

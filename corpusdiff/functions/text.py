@@ -18,7 +18,10 @@ from pyspark.sql import types as T
 
 # White space in the sense of ECMAScript; Java's own \s is ASCII only.
 WS = "[" + "\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff" + "]"
-TERM_PUNCTUATION = "[，。、“”‘’《》（）()［］\\[\\]：:；;,.!?！？]"
+SPACES = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+# Marks that a normalised term does not keep.
+TERM_PUNCTUATION = "，。、“”‘’《》（）()［］[]：:；;,.!?！？"
+DROPPED = SPACES + TERM_PUNCTUATION
 TITLE_PUNCTUATION = "[\\-—–·・:：,，.。\"'“”‘’（）()《》【】［］\\[\\]、<>/]"
 
 # The named entities that are decoded; all others stay as they are.
@@ -31,6 +34,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def quote_pattern(text: str) -> str:
     """A literal as a pattern that both Java and RE2 accept."""
     return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", text)
@@ -54,7 +62,8 @@ def string_value(c: Column | str) -> Column:
 
 
 def norm_term(c: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(_col(c), f"{WS}+", ""), TERM_PUNCTUATION, "")
+    """Text without white space and punctuation. ``translate`` takes one pass where patterns take several."""
+    return F.translate(_col(c), DROPPED, "")
 
 
 def norm_comparable(c: Column | str) -> Column:
@@ -62,13 +71,15 @@ def norm_comparable(c: Column | str) -> Column:
 
 
 def norm_anchor(c: Column | str) -> Column:
-    return F.regexp_replace(norm_term(c), "[—－]", "-")
+    """Normalised term with long dashes as plain ones."""
+    return F.translate(_col(c), "—－" + DROPPED, "--")
 
 
 def decode_entities(c: Column | str) -> Column:
     """One pass over the text: six named entities and numeric ones; anything else is kept."""
-    text = _col(c)
-    tokens = F.regexp_extract_all(text, F.lit("&(?:#x?[0-9a-fA-F]+|[a-zA-Z]+);|[^&]+|&"), F.lit(0))
+
+    def tokens(text: Column) -> Column:
+        return F.regexp_extract_all(text, F.lit("&(?:#x?[0-9a-fA-F]+|[a-zA-Z]+);|[^&]+|&"), F.lit(0))
 
     def from_code(hexadecimal: Column) -> Column:
         return F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32")
@@ -85,7 +96,10 @@ def decode_entities(c: Column | str) -> Column:
         out = out.when((decimal != "") & token.endswith(";"), from_code(F.hex(decimal.cast("long"))))
         return out.otherwise(token)
 
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(tokens, decode), "")).otherwise(text)
+    def decoded(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(tokens(text), decode), "")).otherwise(text)
+
+    return let(_col(c), decoded)
 
 
 def collapse_ws(c: Column | str) -> Column:
@@ -117,19 +131,25 @@ def paragraph_text(c: Column | str) -> Column:
     """Text of the non-empty paragraphs; without any, the text of the whole fragment."""
     html = _col(c)
     bodies = F.regexp_extract_all(html, F.lit("(?i)<p\\b[^>]*>([\\s\\S]*?)</p>"), F.lit(1))
-    paragraphs = F.filter(F.transform(bodies, strip_html), lambda p: p != "")
-    return F.when(F.size(paragraphs) > 0, normalize_ws(F.array_join(paragraphs, " "))).otherwise(strip_html(html))
+    return let(
+        F.filter(F.transform(bodies, strip_html), lambda p: p != ""),
+        lambda found: F.when(F.size(found) > 0, normalize_ws(F.array_join(found, " "))).otherwise(strip_html(html)),
+    )
 
 
 def excerpt(c: Column | str, max_chars: int = 240) -> Column:
-    text = normalize_ws(c)
-    length = F.length(text)
-    keep = F.least(F.lit(max(1, max_chars - 1)), F.greatest(F.lit(48), F.floor(length * 0.72).cast("int")))
-    return (
-        F.when(length == 0, F.lit(""))
-        .when(length < 72, F.lit(SHORT_TEXT_NOTICE))
-        .otherwise(F.concat(trim_u(F.substring(text, F.lit(1), keep)), F.lit("…")))
-    )
+    """Opening of a text: at most ``max_chars``, and never more than 72 % of it."""
+
+    def cut(text: Column) -> Column:
+        length = F.length(text)
+        keep = F.least(F.lit(max(1, max_chars - 1)), F.greatest(F.lit(48), F.floor(length * 0.72).cast("int")))
+        return (
+            F.when(length == 0, F.lit(""))
+            .when(length < 72, F.lit(SHORT_TEXT_NOTICE))
+            .otherwise(F.concat(trim_u(F.substring(text, F.lit(1), keep)), F.lit("…")))
+        )
+
+    return let(normalize_ws(c), cut)
 
 
 def between(c: Column | str, start: str, end: str) -> Column:
@@ -142,10 +162,12 @@ def between(c: Column | str, start: str, end: str) -> Column:
 
 
 def truncate(c: Column | str, max_chars: int, mark: str = "…") -> Column:
-    text = collapse_ws(c)
     keep = max(0, max_chars - len(mark))
-    return F.when(F.length(text) <= max_chars, text).otherwise(
-        F.concat(trim_u(F.substring(text, 1, keep)), F.lit(mark))
+    return let(
+        collapse_ws(c),
+        lambda text: F.when(F.length(text) <= max_chars, text).otherwise(
+            F.concat(trim_u(F.substring(text, 1, keep)), F.lit(mark))
+        ),
     )
 
 
@@ -195,7 +217,11 @@ def shingles(c: Column | str, n: int) -> Column:
 # --- pandas UDFs ---------------------------------------------------------------------------------------------
 
 
-def _gram_codes(text: str | None, n: int) -> np.ndarray:
+_DROP = str.maketrans("", "", DROPPED)
+
+
+def _gram_codes(raw: str | None, n: int) -> np.ndarray:
+    text = raw.translate(_DROP).lower() if raw else ""
     if not text:
         return np.empty(0, dtype=np.int64)
     points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
@@ -215,7 +241,7 @@ def shingle_codes(c: Column | str, n: int) -> Column:
     def codes(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: _gram_codes(text, n))
 
-    return codes(norm_comparable(c))
+    return codes(_col(c))
 
 
 # Digits of Chinese numerals.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusdiff.rules import AnchorRule, LABELS, RuleSet, TopicRule
+from corpusdiff.session import spread
 
 FIRST_DATE = "2024-01-01"
 N_DATES = 64
@@ -66,7 +67,7 @@ def source_number(source: Column) -> Column:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as articles: whole first sentence as title, whole text as body."""
     title = first_sentence(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("doc_id").alias("pos"),
         F.when(source_number(F.col("source")) % 2 == 0, F.lit("left")).otherwise(F.lit("right")).alias("side"),

@@ -22,7 +22,7 @@ from corpusdiff.operators.grouping import greedy_one_to_one, group_pairs, indepe
 from corpusdiff.plans import driver as d
 from corpusdiff.plans import sql_text as s
 from corpusdiff.plans.build import SNAPSHOT_OPTIONS, accepted_pairs, candidate_pool, match_groups
-from corpusdiff.session import cut_lineage, scratch_table_path, tune
+from corpusdiff.session import cut_lineage, scratch_table_path, spread, tune
 from corpusdiff.sources import archive as ar
 from corpusdiff.sources import feed as fd
 from corpusdiff.sources import html as h
@@ -222,7 +222,7 @@ def date_window(spark, sf_dir):
 
 @query(f"SELECT page_id, {s.strip_html('html')} AS text FROM pages")
 def html_text(spark, sf_dir):
-    return d.table(spark, sf_dir, "pages").select("page_id", t.strip_html("html").alias("text"))
+    return spread(d.table(spark, sf_dir, "pages")).select("page_id", t.strip_html("html").alias("text"))
 
 
 _ARTICLE = "regexp_extract(html, '(?i)<article\\b[^>]*>([\\s\\S]*?)</article>', 1)"
@@ -236,7 +236,7 @@ _PARSED = f"""parsed AS (
 def _page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.col("html")
     body = F.coalesce(F.nullif(F.regexp_extract(html, "(?i)<article\\b[^>]*>([\\s\\S]*?)</article>", 1), F.lit("")), F.lit(""))
-    return h.parse_articles(d.table(spark, sf_dir, "pages"), body=body)
+    return h.parse_articles(spread(d.table(spark, sf_dir, "pages")), body=body)
 
 
 @query(f"WITH {_PARSED} SELECT page_id, title, analysis_text, {s.excerpt('analysis_text', 180)} AS excerpt FROM parsed")
@@ -256,7 +256,7 @@ resolved AS (SELECT page_id, pos, {s.strip_html('body')} AS title,
 @query(f"WITH {_LINKS} SELECT page_id, link_url, arg_max(title, pos) AS title, min(pos)::int AS title_pos FROM resolved GROUP BY page_id, link_url")
 def html_links(spark, sf_dir):
     """The navigation links of each page, merged by address as on a layout page."""
-    pages = d.table(spark, sf_dir, "pages")
+    pages = spread(d.table(spark, sf_dir, "pages"))
     nav = F.coalesce(F.regexp_extract("html", "(?i)<nav\\b[^>]*>([\\s\\S]*?)</nav>", 1), F.lit(""))
     return h.article_links(pages, nav).select("page_id", "link_url", "title", "title_pos")
 

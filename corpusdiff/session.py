@@ -49,6 +49,12 @@ def pin(df: DataFrame) -> DataFrame:
     return df.withColumn(row, F.monotonically_increasing_id()).filter(F.col(row) >= 0).drop(row)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of few splits to all cores. Large inputs have more splits than cores and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can write to.
 

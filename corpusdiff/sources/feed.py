@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusdiff.functions import text as t
+from corpusdiff.session import pin
 from corpusdiff.sources.html import DEFAULT_TITLE, coordinate_pairs
 
 ITEM = "struct<id:string,title:string,title2:string,content:string,point:array<string>,type:string>"
@@ -28,7 +29,7 @@ def scan_feed(spark: SparkSession, path: str) -> DataFrame:
 def parse_feed(df: DataFrame) -> DataFrame:
     """Adds ``feed`` and ``failed``. Text that is no JSON object fails the issue, not the job."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = df.withColumn("feed", F.from_json("json", FEED, options))
+    parsed = pin(df.withColumn("feed", F.from_json("json", FEED, options)))
     return parsed.withColumn("failed", F.col("feed").isNull() | F.col("feed._corrupt").isNotNull())
 
 
@@ -66,9 +67,9 @@ def feed_articles(pages: DataFrame, source: str, excerpt_chars: int = 180) -> Da
         "issue_date", "page_number", "page_name", F.posexplode("items").alias("item_pos", "item")
     )
     title, content = t.string_value("item.title"), t.string_value("item.content")
-    kept = items.filter(title.isNotNull() | content.isNotNull())
-    own_id = F.concat_ws("-", F.col("issue_date").cast("string"), "page_number", "item_pos")
     text = t.paragraph_text(F.coalesce(content, F.lit("")))
+    kept = pin(items.filter(title.isNotNull() | content.isNotNull()).withColumn("text", text))
+    own_id = F.concat_ws("-", F.col("issue_date").cast("string"), "page_number", "item_pos")
     return kept.select(
         F.concat(F.lit(f"{source}:"), F.coalesce(t.string_value("item.id"), own_id)).alias("id"),
         F.lit(source).alias("source"),
@@ -78,8 +79,8 @@ def feed_articles(pages: DataFrame, source: str, excerpt_chars: int = 180) -> Da
         F.col("item_pos").cast("long").alias("pos"),
         F.coalesce(title, F.lit(DEFAULT_TITLE)).alias("title"),
         t.string_value("item.title2").alias("subtitle"),
-        text.alias("analysis_text"),
-        t.excerpt(text, excerpt_chars).alias("excerpt"),
+        F.col("text").alias("analysis_text"),
+        t.excerpt("text", excerpt_chars).alias("excerpt"),
         feed_region(F.col("item.point")).alias("layout_region"),
     )
 

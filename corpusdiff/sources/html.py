@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusdiff.functions import text as t
+from corpusdiff.session import pin
 
 SHAPES = ("polygon", "rect", "circle")
 DEFAULT_TITLE = "Untitled article"
@@ -161,7 +162,7 @@ def parse_articles(pages: DataFrame, body: Column | None = None, fallback_title:
         prop(html, "author").alias("author"),
         t.paragraph_text(article_body(html) if body is None else body).alias("analysis_text"),
     )
-    return parsed.withColumn("excerpt", t.excerpt("analysis_text", excerpt_chars))
+    return pin(parsed).withColumn("excerpt", t.excerpt("analysis_text", excerpt_chars))
 
 
 def article_id(source: str, url: Column) -> Column:

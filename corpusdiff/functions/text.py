@@ -214,6 +214,22 @@ def shingles(c: Column | str, n: int) -> Column:
     )
 
 
+def longest_common_substring(left: Column | str, right: Column | str) -> Column:
+    """Longest text found in both; the leftmost one of the left text on ties.
+
+    One pass over the left text: at each end position only a text one longer than the best so far can improve on it,
+    because any longer one would have shown its beginning one position earlier.
+    """
+    a, b = _col(left), _col(right)
+
+    def step(best: Column, end: Column) -> Column:
+        longer = F.substring(a, end - F.length(best), F.length(best) + 1)
+        return F.when(F.contains(b, longer), longer).otherwise(best)
+
+    scan = F.aggregate(F.sequence(F.lit(1), F.length(a)), F.lit(""), step)
+    return F.when(a == b, a).when((a == "") | (b == ""), F.lit("")).otherwise(scan)
+
+
 # --- pandas UDFs ---------------------------------------------------------------------------------------------
 
 
@@ -303,17 +319,3 @@ def canonical_title(c: Column | str, rules) -> Column:
     title = ordinal_digits(F.regexp_replace(title, "^(?:19|20)[0-9]{2}年", ""))
     title = F.regexp_replace(F.regexp_replace(title, f"{WS}+", ""), TITLE_PUNCTUATION, "")
     return F.struct(title.alias("title"), leading_year(labelled).alias("leading_year"))
-
-
-@F.pandas_udf(T.StringType())
-def longest_common_substring(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Longest text found in both; the leftmost one of the left text on ties."""
-    from difflib import SequenceMatcher
-
-    def common(a: str, b: str) -> str:
-        if not a or not b:
-            return ""
-        found = SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
-        return a[found.a : found.a + found.size]
-
-    return pd.Series([common(a, b) for a, b in zip(left, right)], dtype=object)

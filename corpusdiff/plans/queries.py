@@ -22,7 +22,7 @@ from corpusdiff.operators.grouping import greedy_one_to_one, group_pairs, indepe
 from corpusdiff.plans import driver as d
 from corpusdiff.plans import sql_text as s
 from corpusdiff.plans.build import SNAPSHOT_OPTIONS, accepted_pairs, candidate_pool, match_groups
-from corpusdiff.session import cut_lineage, scratch_table_path, spread, tune
+from corpusdiff.session import cut_lineage, pin, scratch_table_path, spread, tune
 from corpusdiff.sources import archive as ar
 from corpusdiff.sources import feed as fd
 from corpusdiff.sources import html as h
@@ -72,7 +72,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with their canonical titles, nothing else."""
     rows = d.articles(spark, sf_dir).select("id", "pos", "side", "issue_date", "page_number", "title")
-    canon = rows.withColumn("c_", t.canonical_title("title", R))
+    canon = pin(rows.withColumn("c_", t.canonical_title("title", R)))
     return canon.withColumns({"ctitle": F.col("c_.title"), "cyear": F.col("c_.leading_year")}).drop("c_").withColumn(
         "ignorable", sg.is_ignorable_title(F.col("ctitle"), R)
     )
@@ -660,6 +660,16 @@ def graph_links(spark, sf_dir):
     return g.valid_links(links, nodes).select(day(), "source", "target", "weight", r6("confidence", "confidence"), bar("group_ids").alias("group_ids"))
 
 
+@query(f"WITH {s.TITLE_GROUPS} SELECT issue_date::varchar AS issue_date, group_id, side, article_id FROM members")
+def resolved_members(spark, sf_dir):
+    """Groups that hold id lists only, some ids unknown, resolved against the nodes."""
+    groups, _, _, nodes = graph_parts(spark, sf_dir)
+    listed = groups.select(
+        "issue_date", "group_id", F.concat("left_articles", F.array(F.lit("unknown"))).alias("left_ids"), F.col("right_articles").alias("right_ids")
+    )
+    return g.resolve_members(listed, nodes).select(day(), "group_id", "side", "article_id")
+
+
 @query(
     f"""WITH {_MEASURED} SELECT issue_date::varchar AS issue_date, side || ':' || id AS node_id, side, page_number, degree, degree AS matched_degree, degree = 0 AS isolated FROM measured"""
 )

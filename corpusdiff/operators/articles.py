@@ -153,17 +153,28 @@ def fingerprint(df: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*content, page_prominence(page_number(df)).alias("prominence_"))), 256)
 
 
-def normalize_articles(df: DataFrame, rules: RuleSet) -> DataFrame:
-    """Resolve all alternative fields once; every later operator reads this flat row."""
-    strings = T.ArrayType(T.StringType())
-    return df.select(
+def _identity(df: DataFrame) -> list[Column]:
+    return [
         fingerprint(df).alias("fingerprint"),
         article_key(df).alias("id"),
         first_of(df, ("side", "source")).alias("side"),
         article_date(df).alias("issue_date"),
         page_number(df).alias("page_number"),
-        field(df, "page_name").alias("page_name"),
         F.coalesce(field(df, "pos", "long"), F.lit(0)).alias("pos"),
+    ]
+
+
+def identify(df: DataFrame) -> DataFrame:
+    """Key columns and digest next to the untouched input row in ``raw``, which holds each text once."""
+    return df.select(*_identity(df), F.struct(*df.columns).alias("raw"))
+
+
+def normalize_articles(df: DataFrame, rules: RuleSet) -> DataFrame:
+    """Resolve all alternative fields once; every later operator reads this flat row."""
+    strings = T.ArrayType(T.StringType())
+    return df.select(
+        *_identity(df),
+        field(df, "page_name").alias("page_name"),
         article_title(df).alias("title"),
         article_title(df, "Untitled").alias("judge_title"),
         article_text(df).alias("article_text"),

@@ -293,10 +293,15 @@ def title_groups(titles: DataFrame, per_side: int = 2, min_length: int = 8) -> D
     ``titles`` holds (issue_date, side, id, pos, page_number, ctitle, cyear, ignorable). Without decisions every pair of
     one title has the same confidence, and splitting the complete set of pairs in article order under the group bounds
     keeps the k-th two articles of the left with the k-th two of the right. So the groups follow from ranks alone, for
-    any number of articles. Titles that occur with different leading years are grouped per year.
+    any number of articles. A title that occurs with several leading years is grouped per year.
     """
-    usable = titles.filter((F.length("ctitle") >= min_length) & ~F.col("ignorable")).withColumn(
-        "cyear", F.coalesce("cyear", F.lit(""))
+    usable = titles.filter((F.length("ctitle") >= min_length) & ~F.col("ignorable"))
+    several = (
+        usable.filter("cyear IS NOT NULL").groupBy("issue_date", "ctitle").agg(F.count_distinct("cyear").alias("years_"))
+        .filter("years_ > 1")
+    )
+    usable = usable.join(several, ["issue_date", "ctitle"], "left").withColumn(
+        "cyear", F.when(F.col("years_").isNotNull(), F.coalesce("cyear", F.lit(""))).otherwise(F.lit(""))
     )
     key = ["issue_date", "ctitle", "cyear"]
     ranked = distributed_rank(usable.select(*key, "side", "pos", "id", "page_number"), [*key, "side"], ["pos", "id"])

@@ -12,7 +12,7 @@ from corpusdiff.operators import candidates as c
 from corpusdiff.operators import graph as g
 from corpusdiff.operators import groups as gr
 from corpusdiff.operators import pairs as p
-from corpusdiff.operators.articles import normalize_articles
+from corpusdiff.operators.articles import identify, normalize_articles
 from corpusdiff.operators.grouping import Bounds, group_pairs
 from corpusdiff.rules import NEWSPAPER_RULES, RuleSet
 from corpusdiff.session import cut_lineage
@@ -35,9 +35,8 @@ SNAPSHOT_OPTIONS = BuildOptions(aggregate_unmatched=False, candidate_limit=96, m
 
 
 def candidate_pool(articles: DataFrame, rules: RuleSet, options: BuildOptions) -> DataFrame:
-    """``articles`` are normalised."""
     cands = c.candidate_pairs(articles, rules, options.min_candidate)
-    return c.select_pool(cands, p.class_members(articles, options.candidate_limit), options.candidate_limit)
+    return c.select_pool(cands, p.class_members(identify(articles), options.candidate_limit), options.candidate_limit)
 
 
 def accepted_pairs(pool: DataFrame, decisions: DataFrame | None, options: BuildOptions) -> DataFrame:
@@ -57,7 +56,7 @@ def build(
 ) -> dict[str, DataFrame]:
     """Articles of any shape → matched groups, members, one-sided groups and graph of every date."""
     flat = normalize_articles(articles, rules).filter("issue_date IS NOT NULL")
-    pool = candidate_pool(flat, rules, options)
+    pool = candidate_pool(articles, rules, options)
     matched = cut_lineage(match_groups(accepted_pairs(pool, decisions, options), rules, options))
     members = gr.group_members(matched)
     rest = gr.unmatched(flat, members)

@@ -79,7 +79,7 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidate_pool(flat(spark, sf_dir), R, SNAPSHOT_OPTIONS)
+    return candidate_pool(d.articles(spark, sf_dir), R, SNAPSHOT_OPTIONS)
 
 
 def decisions(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
@@ -188,8 +188,8 @@ def page_levels(spark, sf_dir):
 def local_dates(spark, sf_dir):
     local = d.table(spark, sf_dir, "events").withColumn("dt", ar.issue_date_in_tz(F.col("ts")))
     per_day = local.groupBy("dt").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
-    span = per_day.agg(F.min("dt").alias("lo"), F.max("dt").alias("hi"))
-    return per_day.join(F.broadcast(span)).select(
+    span = per_day.agg(F.min("dt").alias("lo"), F.max("dt").alias("hi")).withColumn("one_", F.lit(1))
+    return per_day.withColumn("one_", F.lit(1)).join(F.broadcast(span), "one_").select(
         lb.fmt_date(F.col("dt")).alias("label"), lb.fmt_date_range(F.col("lo"), F.col("hi")).alias("range_label"), "n",
         F.round("v", 4).alias("total"),
     )
@@ -839,8 +839,8 @@ def index_newest(spark, sf_dir):
 @query("SELECT min(ts::date)::varchar AS oldest, max(ts::date)::varchar AS newest, count(DISTINCT ts::date) AS dates, max(ts) AS updated_at FROM events")
 def archive_coverage(spark, sf_dir):
     entries = index_sources(spark, sf_dir)
-    latest = ar.latest_timestamp(entries)
-    return ar.archive_coverage(entries).join(F.broadcast(latest)).select(
+    latest = ar.latest_timestamp(entries).withColumn("one_", F.lit(1))
+    return ar.archive_coverage(entries).withColumn("one_", F.lit(1)).join(latest, "one_").select(
         F.col("oldest").cast("string").alias("oldest"), F.col("newest").cast("string").alias("newest"), "dates", "updated_at"
     )
 

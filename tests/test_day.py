@@ -12,7 +12,7 @@ from corpusdiff.operators import candidates as c
 from corpusdiff.operators import groups as gr
 from corpusdiff.operators import pairs as p
 from corpusdiff.operators import quality as qa
-from corpusdiff.operators.articles import normalize_articles
+from corpusdiff.operators.articles import identify, normalize_articles
 from corpusdiff.operators.grouping import Bounds, group_day, group_pairs, independence_blocks
 from corpusdiff.operators.ranks import distributed_rank
 from corpusdiff.plans.build import BuildOptions, build
@@ -46,8 +46,13 @@ def rows():
 
 
 @pytest.fixture(scope="module")
-def frame(spark, rows):
-    return normalize_articles(spark.createDataFrame(pd.DataFrame(rows)), R)
+def raw(spark, rows):
+    return spark.createDataFrame(pd.DataFrame(rows))
+
+
+@pytest.fixture(scope="module")
+def frame(raw):
+    return normalize_articles(raw, R)
 
 
 def keyed(spark, rows, frame):
@@ -60,9 +65,9 @@ def keyed(spark, rows, frame):
 
 @pytest.mark.parametrize("tile", [3, 128])
 @pytest.mark.parametrize("limit", [7, 40, 100])
-def test_pool_equals_brute_force(spark, rows, frame, limit, tile):
-    cands = c.candidate_pairs(frame, R, 0.1, tile=tile)
-    found = c.select_pool(cands, p.class_members(frame, limit), limit)
+def test_pool_equals_brute_force(spark, rows, raw, frame, limit, tile):
+    cands = c.candidate_pairs(raw, R, 0.1, tile=tile)
+    found = c.select_pool(cands, p.class_members(identify(raw), limit), limit)
     mine = {(str(r.issue_date), r.pair_id) for r in found.select("issue_date", "pair_id").collect()}
     brute = Brute(R)
     all_cands = keyed(spark, rows, frame)
@@ -73,10 +78,10 @@ def test_pool_equals_brute_force(spark, rows, frame, limit, tile):
     assert mine == expected
 
 
-def test_blocked_acceptance_loses_nothing(spark, rows, frame):
+def test_blocked_acceptance_loses_nothing(spark, rows, raw):
     """Pairs accepted among all pairs of a date are those accepted among pairs that share a key."""
     limit = 2000
-    found = c.select_pool(c.candidate_pairs(frame, R, 0.1), p.class_members(frame, limit), limit)
+    found = c.select_pool(c.candidate_pairs(raw, R, 0.1), p.class_members(identify(raw), limit), limit)
     mine = {r.pair_id for r in ac.accept(ac.without_decisions(found), used_judge=F.lit(False)).select("pair_id").collect()}
     assert mine == Brute(R).accepted(Brute(R).candidates(rows))
 
@@ -91,9 +96,9 @@ def test_build_properties(spark, rows):
     assert m.nodes == len(rows) == m.matched_nodes + m.isolated_nodes and m.matched_nodes == len(members)
 
 
-def test_blocks_give_the_result_of_the_date(spark, frame):
+def test_blocks_give_the_result_of_the_date(spark, raw):
     limit = 300
-    pool = c.select_pool(c.candidate_pairs(frame, R, 0.1), p.class_members(frame, limit), limit)
+    pool = c.select_pool(c.candidate_pairs(raw, R, 0.1), p.class_members(identify(raw), limit), limit)
     acc = ac.merge_fields(ac.accept(ac.without_decisions(pool), used_judge=F.lit(False)), R).cache()
     whole = {tuple(r) for r in group_pairs(acc, R).collect()}
     blocks = {tuple(r) for r in group_pairs(independence_blocks(acc), R, by=("issue_date", "block")).collect()}
@@ -122,6 +127,15 @@ def test_title_groups_follow_from_ranks(spark, n, m):
     assert mine == expected
 
 
+def test_title_years(spark):
+    rows = [("left", "a", None, "x"), ("right", "b", "2025", "x"), ("left", "c", "2024", "y"), ("right", "d", "2025", "y"), ("left", "e", "2025", "y")]
+    titles = spark.createDataFrame(rows, "side string, id string, cyear string, t string").select(
+        "side", "id", "cyear", F.concat(F.lit("longtitle"), "t").alias("ctitle"), F.lit(0).alias("pos"), F.lit(1).alias("page_number"),
+        F.lit("2024-01-01").cast("date").alias("issue_date"), F.lit(False).alias("ignorable"),
+    )
+    assert {r.group_id for r in gr.title_groups(titles).collect()} == {"matched:a:b", "matched:e:d"}
+
+
 def test_distributed_rank(spark):
     rows = [("a", i) for i in range(500)] + [("b", i) for i in range(3)]
     df = spark.createDataFrame(rows, "k string, v int").repartition(5)

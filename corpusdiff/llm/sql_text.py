@@ -1,0 +1,29 @@
+"""SQL of the registered queries that SQL can express."""
+
+QUALITY = r"""
+WITH numbered AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM numbered),
+windows AS (
+  SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS gram
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM split WHERE len(ws) > 4)),
+twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM windows),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(5)) AS k) WHERE n > 1 GROUP BY r),
+counts AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, text, len(string_split(text, chr(10))) AS all_lines,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(n, 0)::BIGINT AS n_repeat_words,
+         length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters
+  FROM split LEFT JOIN covered USING (r)),
+base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 3 * all_lines OR word_chars < 2 * n_words
+            OR word_chars > 15 * n_words OR 10 * letters < 6 * word_chars) AS kept
+FROM base
+"""
+
+LLM_ORACLES = {"op9_quality_rules": QUALITY}

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from corpusdiff.llm.common import read_table
 from corpusdiff.llm.quality_cascade import quality_rules
+from corpusdiff.llm.simhash_gray import hex_digits, simhash_components
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +23,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op5_simhash": op5_simhash,
     "op9_quality_rules": op9_quality_rules,
 }

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusdiff.llm.common import read_table
+from corpusdiff.llm.packing import pack
 from corpusdiff.llm.quality_cascade import quality_rules
 from corpusdiff.llm.simhash_gray import hex_digits, simhash_components
+from corpusdiff.llm.token_counts import token_counts
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +17,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"), fields=("source", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs).select(
@@ -24,5 +34,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op5_simhash": op5_simhash,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
 }

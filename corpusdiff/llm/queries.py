@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdiff.llm.common import read_table
+from corpusdiff.llm.common import read_table, trained_on
+from corpusdiff.llm.langid_hd import identify
 from corpusdiff.llm.packing import pack
 from corpusdiff.llm.quality_cascade import quality_rules
+from corpusdiff.llm.secret_formats import KINDS, secret_spans, spans_text
 from corpusdiff.llm.simhash_gray import hex_digits, simhash_components
 from corpusdiff.llm.token_counts import token_counts
+from corpusdiff.session import pin
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    learned = trained_on(F.col("doc_id"), 0)
+    found = identify(docs.select("doc_id", "text"), docs.filter(learned).select("text", "lang"))
+    return found.select("doc_id", (~learned).alias("held_out"), "lang_pred", "score")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +27,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = pin(secret_spans(docs).drop("text"))
+
+    def of_kind(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    base = of_kind(*KINDS)
+    return spans.select(
+        "doc_id", *(F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans")
+    )
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
@@ -33,7 +56,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op2_language_id": op2_language_id,
     "op5_simhash": op5_simhash,
+    "op6_secret_scan": op6_secret_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,

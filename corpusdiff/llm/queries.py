@@ -12,6 +12,7 @@ from corpusdiff.llm.quality_cascade import quality_rules
 from corpusdiff.llm.secret_formats import KINDS, secret_spans, spans_text
 from corpusdiff.llm.simhash_gray import hex_digits, simhash_components
 from corpusdiff.llm.token_counts import token_counts
+from corpusdiff.llm.warc import crawl_records, id_of, read_archive, write_archive
 from corpusdiff.session import pin
 
 
@@ -22,6 +23,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~learned).alias("held_out"), "lang_pred", "score")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_archive(crawl_records(read_table(spark, sf_dir, "pages"), min_bytes=0))
+    records = read_archive(spark, path, payload="false", verify="true").filter(F.col("record_type").isin("response", "revisit"))
+    return records.select(
+        id_of(F.col("record_id")).alias("page_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
+        "record_type", id_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -57,6 +67,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op2_language_id": op2_language_id,
+    "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op6_secret_scan": op6_secret_scan,
     "op7_best_fit_packing": op7_best_fit_packing,

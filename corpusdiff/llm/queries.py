@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusdiff.llm.common import read_table, trained_on
 from corpusdiff.llm.langid_hd import identify
+from corpusdiff.llm.nn_descent import near_duplicates
 from corpusdiff.llm.packing import pack
 from corpusdiff.llm.quality_cascade import quality_rules
 from corpusdiff.llm.secret_formats import KINDS, secret_spans, spans_text
@@ -65,6 +66,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 LLM_QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_warc": op4_warc,
@@ -73,4 +78,5 @@ LLM_QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusdiff.llm.common import read_table, trained_on
+from corpusdiff.llm.context_mixing import score
 from corpusdiff.llm.langid_hd import identify
 from corpusdiff.llm.nn_descent import near_duplicates
 from corpusdiff.llm.packing import pack
@@ -17,6 +18,13 @@ from corpusdiff.llm.warc import crawl_records, id_of, read_archive, write_archiv
 from corpusdiff.session import pin
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("learn", trained_on(F.col("doc_id"), 1))
+    return score(docs, "learn").select(
+        "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"
+    )
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     learned = trained_on(F.col("doc_id"), 0)
@@ -71,6 +79,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
     "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,

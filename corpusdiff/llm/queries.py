@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusdiff.llm.common import read_table, trained_on
 from corpusdiff.llm.context_mixing import score
 from corpusdiff.llm.langid_hd import identify
+from corpusdiff.llm.mixing import mix
 from corpusdiff.llm.nn_descent import near_duplicates
 from corpusdiff.llm.packing import pack
 from corpusdiff.llm.quality_cascade import quality_rules
@@ -32,6 +33,23 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~learned).alias("held_out"), "lang_pred", "score")
 
 
+#: Token shares wanted by domain: quality and toxicity as in the labelled table.
+TARGETS = {"q1t0": 0.85, "q0t0": 0.10, "q1t1": 0.04, "q0t1": 0.01}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """Texts of ``docs`` with the domain that the labelled table gives them."""
+    labels = read_table(spark, sf_dir, "labels")
+    domain = F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))
+    return docs.select("doc_id", "text").join(labels.select("doc_id", domain.alias("domain")), "doc_id").select("text", "domain")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mix(docs, labelled_domains(spark, sf_dir, docs), TARGETS)
+    return mixed.select("doc_id", "n_tokens", "posterior", "rate")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_archive(crawl_records(read_table(spark, sf_dir, "pages"), min_bytes=0))
     records = read_archive(spark, path, payload="false", verify="true").filter(F.col("record_type").isin("response", "revisit"))
@@ -81,6 +99,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
+    "op3_mixing": op3_mixing,
     "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op6_secret_scan": op6_secret_scan,

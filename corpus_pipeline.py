@@ -1,8 +1,87 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the documents of the next.
 
-STAGES = []
+Rows with nulls, empty or very long texts, repeated rows and clashing ids go through every stage; an empty table stays empty. All stages but the last return
+the columns of ``documents`` (columns that are not among these are dropped first), with these effects:
+
+1. ``language_id``: a document without letters, or with a null text, goes. A missing ``lang`` is filled with the predicted language.
+2. ``near_duplicates``: of each SimHash group the document with the smallest id stays (of equal ids the one read first; null ids come last).
+3. ``secret_scan``: secrets in the text are replaced by ``[SECRET]``; ``n_chars`` follows. No document goes.
+4. ``mixing``: a document is used as often as its rate says: dropped, kept or repeated. The targets ask for more of the good domain than there is, so
+   its rates are 1 or more.
+5. ``packing``: the token sequences, one row per piece.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusdiff.llm.common import read_table, stored, trained_on
+from corpusdiff.llm.langid_hd import UNKNOWN, identify
+from corpusdiff.llm.mixing import copies, mix
+from corpusdiff.llm.packing import pack
+from corpusdiff.llm.queries import labelled_domains
+from corpusdiff.llm.secret_formats import mask, secret_spans
+from corpusdiff.llm.simhash_gray import simhash_components
+from corpusdiff.session import pin, ship_package
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Shares of tokens by domain that the mixture is to have.
+TARGETS = {"q1t0": 0.94, "q0t0": 0.045, "q1t1": 0.012, "q0t1": 0.003}
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    learned = docs.filter(trained_on(F.col("doc_id"), 0)).select("text", "lang")
+    found = pin(identify(docs.select(*COLUMNS), learned))
+    kept = found.filter(F.col("lang_pred") != UNKNOWN)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    rows = stored(docs.select(*COLUMNS).withColumn("row_", F.monotonically_increasing_id()), "numbered")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_")
+    groups = simhash_components(rows.withColumn("order_", order), id_col="order_")
+    kept = groups.filter(F.col("order_") == F.col("component_id")).select(F.col("order_.row_").alias("row_"))
+    return rows.join(kept, "row_", "left_semi").select(*COLUMNS)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    found = pin(secret_spans(docs.select(*COLUMNS)))
+    masked = pin(found.withColumn("text", mask(F.col("text"), F.col("spans"))))
+    size = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return masked.withColumn("n_chars", size).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    mixed = mix(docs.select(*COLUMNS), labelled_domains(spark, sf_dir, docs), TARGETS)
+    times = pin(mixed.withColumn("times_", copies(F.col("rate"), "doc_id", "text"))).filter("times_ > 0")
+    return times.withColumn("again_", F.explode(F.array_repeat(F.lit(1), F.col("times_")))).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+#: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -80,6 +80,8 @@ def fit_classifier(labelled: DataFrame, text_col: str, domain_col: str, examples
 
 
 def posteriors(logits: np.ndarray) -> np.ndarray:
+    if not logits.shape[1]:
+        return logits
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 

@@ -30,6 +30,7 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}")
 KINDS = ("assign", "access", "hex")
 FORMAT = "format"
 MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
+FEW_OTHERS = 50
 SYMBOLS = 68  # letters, digits and six marks: what a candidate consists of, besides its end
 
 
@@ -149,7 +150,7 @@ def _unpack(rows: list) -> list[_State]:
 
 
 def infer_formats(df: DataFrame, text_col: str = "text", examples: int = 1000) -> dict[str, list[_State]]:
-    """An automaton per kind of which the texts hold a value, and one for ordinary candidates, under ``other``."""
+    """An automaton per kind of which the texts hold a value, and one for ordinary candidates, under ``other``, if there are enough of them."""
     import json
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +170,8 @@ def infer_formats(df: DataFrame, text_col: str = "text", examples: int = 1000) -
         sample = own if sample is None else sample.union(own)
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        if key[0] == "other" and len(rows) < FEW_OTHERS:  # a few candidates would be learned by heart, secrets among them
+            return pd.DataFrame({"kind": [], "automaton": []})
         return pd.DataFrame({"kind": [key[0]], "automaton": [json.dumps(_pack(infer(sorted(rows["value"]))))]})
 
     fitted = sample.groupBy("kind").applyInPandas(fit, "kind string, automaton string")

@@ -171,7 +171,7 @@ def infer_formats(df: DataFrame, text_col: str = "text", examples: int = 1000) -
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] == "other" and len(rows) < FEW_OTHERS:  # a few candidates would be learned by heart, secrets among them
-            return pd.DataFrame({"kind": [], "automaton": []})
+            return pd.DataFrame({"kind": pd.Series([], dtype=str), "automaton": pd.Series([], dtype=str)})
         return pd.DataFrame({"kind": [key[0]], "automaton": [json.dumps(_pack(infer(sorted(rows["value"]))))]})
 
     fitted = sample.groupBy("kind").applyInPandas(fit, "kind string, automaton string")

@@ -81,19 +81,22 @@ def decode_entities(c: Column | str) -> Column:
     def tokens(text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit("&(?:#x?[0-9a-fA-F]+|[a-zA-Z]+);|[^&]+|&"), F.lit(0))
 
-    def from_code(hexadecimal: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32")
+    def from_code(code: Column, token: Column) -> Column:
+        """The character of a code point; a number that is none leaves the entity as it stands."""
+        valid = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(token)
 
     def decode(token: Column) -> Column:
         body = F.substring(token, 2, 1_000_000_000)
         name = F.regexp_extract(token, "^&([a-zA-Z]+);$", 1)
-        hexadecimal = F.regexp_extract(body, "^#x([0-9a-fA-F]{1,8})", 1)
-        decimal = F.regexp_extract(body, "^#([0-9]{1,10})", 1)
+        # all digits count, after leading zeros; more than eight cannot be a code point
+        hexadecimal = F.concat(F.lit("0"), F.regexp_extract(body, "^#x0*([0-9a-fA-F]{0,8});$", 1))
+        decimal = F.concat(F.lit("0"), F.regexp_extract(body, "^#0*([0-9]{0,8})(?![0-9])", 1))
         out = F.when(~token.startswith("&"), token)
         for entity, value in NAMED_ENTITIES.items():
             out = out.when(name == entity, F.lit(value))
-        out = out.when(hexadecimal != "", from_code(hexadecimal))
-        out = out.when((decimal != "") & token.endswith(";"), from_code(F.hex(decimal.cast("long"))))
+        out = out.when(body.rlike("^#x0*[0-9a-fA-F]{0,8};$") & (body != "#x;"), from_code(F.conv(hexadecimal, 16, 10).cast("long"), token))
+        out = out.when(body.rlike("^#0*[0-9]{0,8}(?![0-9])") & body.rlike("^#[0-9].*;$"), from_code(decimal.cast("long"), token))
         return out.otherwise(token)
 
     def decoded(text: Column) -> Column:
@@ -186,8 +189,8 @@ def clamp(c: Column | str, low: float, high: float) -> Column:
 
 
 def parse_int(c: Column | str) -> Column:
-    """The leading integer of a text, null when there is none."""
-    return F.regexp_extract(_col(c).cast("string"), f"^{WS}*([+-]?[0-9]{{1,9}})", 1).try_cast("int")
+    """The leading integer of a text, null when there is none or when it does not fit an integer."""
+    return F.regexp_extract(_col(c).cast("string"), f"^{WS}*([+-]?[0-9]+)", 1).try_cast("int")
 
 
 def leading_year(title: Column | str) -> Column:

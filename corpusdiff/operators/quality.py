@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from corpusdiff.operators.graph import is_matched_type
 
 
+KNOWN_TYPES = ("matched", "left_only", "right_only")
+
+
 def infer_group_type(match_type: Column, n_left: Column, n_right: Column) -> Column:
-    inferred = (
-        F.when((n_left > 0) & (n_right > 0), F.lit("matched"))
+    """A label that says matched or one-sided stays; any other, or none, goes by the members."""
+    return (
+        F.when(match_type.isin(*KNOWN_TYPES), match_type)
+        .when((n_left > 0) & (n_right > 0), F.lit("matched"))
         .when(n_left > 0, F.lit("left_only"))
         .when(n_right > 0, F.lit("right_only"))
-        .otherwise(F.lit("unknown"))
+        .otherwise(F.coalesce(match_type, F.lit("unknown")))
     )
-    return F.coalesce(match_type, inferred)
 
 
 def group_sizes(members: DataFrame) -> DataFrame:
@@ -90,10 +94,12 @@ def match_expectations(titles: DataFrame, expectations: DataFrame, mode: str = "
 
 
 def check_expected(groups: DataFrame, titles: DataFrame, dates: DataFrame, expectations: DataFrame) -> DataFrame:
-    """Failures: expected group absent, wrong number of groups, group too large, date missing."""
+    """Failures: expected group absent on its date (on every date, if it names none), wrong number of groups, group too large, date missing."""
     wanted = expectations.filter("kind = 'group'")
-    hit = match_expectations(titles, wanted).select("label").distinct()
-    out = wanted.join(hit, "label", "left_anti").select("issue_date", F.lit("group_missing").alias("failure"), "label")
+    hit = match_expectations(titles, wanted).select("issue_date", "label").distinct()
+    dated = wanted.filter("issue_date IS NOT NULL").join(hit, ["issue_date", "label"], "left_anti")
+    undated = wanted.filter("issue_date IS NULL").join(hit.select("label").distinct(), "label", "left_anti")
+    out = dated.unionByName(undated).select("issue_date", F.lit("group_missing").alias("failure"), "label")
     counts = groups.filter(is_matched_type(F.col("match_type"))).groupBy("issue_date").agg(F.count("*").alias("n"))
     exact = expectations.filter("kind = 'group_count'").join(counts, "issue_date", "left").na.fill(0, ["n"])
     out = out.unionByName(exact.filter("n <> value").select("issue_date", F.lit("group_count").alias("failure"), "label"))
@@ -113,29 +119,48 @@ def check_forbidden(titles: DataFrame, rules: DataFrame) -> DataFrame:
     return pairs.withColumn("failure", F.lit("forbidden_pair")).unionByName(terms.withColumn("failure", F.lit("forbidden_term")))
 
 
-def diagnose(groups: DataFrame, members: DataFrame, stored: DataFrame | None = None, threshold: int = 6) -> DataFrame:
-    """Per date: groups by kind, largest group, and number of suspicious groups."""
+STORED_COUNTS = ("matched_left", "matched_right", "left_only", "right_only")
+
+
+def typed_sizes(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """Groups with their sizes and ``kind``."""
     sizes = groups.select("issue_date", "group_id", "match_type").join(group_sizes(members), ["issue_date", "group_id"], "left").na.fill(0)
-    kind = infer_group_type(F.col("match_type"), F.col("n_left"), F.col("n_right"))
-    matched = is_matched_type(kind) | (kind == "uncertain")
-    suspicious = (F.col("n_total") >= threshold) | (F.greatest("n_left", "n_right") >= threshold)
-    report = sizes.groupBy("issue_date").agg(
+    return sizes.withColumn("kind", infer_group_type(F.col("match_type"), F.col("n_left"), F.col("n_right")))
+
+
+def is_oversized(threshold: int) -> Column:
+    return (F.col("n_total") >= threshold) | (F.greatest("n_left", "n_right") >= threshold)
+
+
+def diagnose(groups: DataFrame, members: DataFrame, stored: DataFrame | None = None, threshold: int = 6) -> DataFrame:
+    """Per date: groups by kind, articles in them, largest matched group, and number of suspicious matched groups.
+
+    Article counts of ``STORED_COUNTS`` that ``stored`` has replace the computed ones; groups are always counted.
+    """
+    kind = F.col("kind")
+    matched = kind == "matched"
+    report = typed_sizes(groups, members).groupBy("issue_date").agg(
         F.count_if(matched).alias("matched_groups"),
         F.count_if(kind == "left_only").alias("left_only_groups"),
         F.count_if(kind == "right_only").alias("right_only_groups"),
-        F.max("n_total").alias("max_group_size"),
-        F.count_if(suspicious).alias("suspicious_groups"),
+        F.coalesce(F.max(F.when(matched, F.col("n_total"))), F.lit(0)).alias("max_group_size"),
+        F.count_if(matched & is_oversized(threshold)).alias("suspicious_groups"),
+        F.sum(F.when(matched, F.col("n_left")).otherwise(0)).alias("matched_left"),
+        F.sum(F.when(matched, F.col("n_right")).otherwise(0)).alias("matched_right"),
+        F.sum(F.when(kind == "left_only", F.col("n_left")).otherwise(0)).alias("left_only"),
+        F.sum(F.when(kind == "right_only", F.col("n_right")).otherwise(0)).alias("right_only"),
     )
-    if stored is None:
+    known = [c for c in STORED_COUNTS if stored is not None and c in stored.columns]
+    if not known:
         return report
-    own = stored.select("issue_date", F.col("matched_groups").alias("stored_"))
-    return report.join(own, "issue_date", "left").withColumn("matched_groups", F.coalesce("stored_", "matched_groups")).drop("stored_")
+    own = stored.select("issue_date", *(F.col(c).alias(f"{c}_") for c in known))
+    return report.join(own, "issue_date", "left").withColumns({c: F.coalesce(f"{c}_", c) for c in known}).drop(*(f"{c}_" for c in known))
 
 
-def oversized_groups(members: DataFrame, threshold: int = 6) -> DataFrame:
-    sizes = group_sizes(members)
-    large = (F.col("n_total") >= threshold) | (F.greatest("n_left", "n_right") >= threshold)
-    return sizes.filter(large).orderBy(F.desc("n_total"), "issue_date", "group_id")
+def oversized_groups(groups: DataFrame, members: DataFrame, threshold: int = 6) -> DataFrame:
+    """Matched groups with at least ``threshold`` articles in all or on a side, largest first."""
+    large = typed_sizes(groups, members).filter((F.col("kind") == "matched") & is_oversized(threshold))
+    return large.select("issue_date", "group_id", "n_left", "n_right", "n_total").orderBy(F.desc("n_total"), "issue_date", "group_id")
 
 
 def issue_problems(issues: DataFrame, expected: DataFrame) -> DataFrame:

@@ -141,6 +141,13 @@ def excerpts(spark, sf_dir):
     )
 
 
+@query("SELECT doc_id, text || ' < é😀A&#x110000;&#9999999999;&#xD800; ' || length(text) || ' &' AS decoded FROM documents")
+def numeric_entities(spark, sf_dir):
+    """Whole texts with an entity of each kind behind them: long ones are decoded, numbers that are no character stay."""
+    coded = F.concat("text", F.lit(" &lt; &#x0000000E9;&#128512;&#00000000065;&#x110000;&#9999999999;&#xD800; "), F.length("text").cast("string"), F.lit(" &amp;"))
+    return d.table(spark, sf_dir, "documents").select("doc_id", t.decode_entities(coded).alias("decoded"))
+
+
 @query(
     f"WITH {s.ART}, {s.CANON} SELECT pos AS doc_id, ctitle, ctitle IN ({', '.join(s.q(x) for x in R.ignorable_titles)}) AS ignorable FROM canon"
 )
@@ -933,19 +940,24 @@ def invariants_of_groups(spark, sf_dir):
 
 @query(
     f"""WITH {_CLASSES} SELECT issue_date::varchar AS issue_date, count(*) FILTER (n_left > 0 AND n_right > 0) AS matched_groups, count(*) FILTER (n_right = 0) AS left_only_groups,
-      count(*) FILTER (n_left = 0) AS right_only_groups, max(n_total) AS max_group_size, count(*) FILTER (n_total >= 6) AS suspicious_groups FROM cls GROUP BY issue_date"""
+      count(*) FILTER (n_left = 0) AS right_only_groups, coalesce(max(n_total) FILTER (n_left > 0 AND n_right > 0), 0) AS max_group_size,
+      count(*) FILTER (n_total >= 6 AND n_left > 0 AND n_right > 0) AS suspicious_groups, coalesce(sum(n_left) FILTER (n_right > 0), 0)::BIGINT AS matched_left,
+      coalesce(sum(n_right) FILTER (n_left > 0), 0)::BIGINT AS matched_right, coalesce(sum(n_left) FILTER (n_right = 0), 0)::BIGINT AS left_only,
+      coalesce(sum(n_right) FILTER (n_left = 0), 0)::BIGINT AS right_only FROM cls GROUP BY issue_date"""
 )
 def diagnostics(spark, sf_dir):
     members = _title_classes(spark, sf_dir)
     groups = members.select("issue_date", "group_id").distinct().withColumn("match_type", F.lit(None).cast("string"))
     return qa.diagnose(groups, members).select(
-        day(), "matched_groups", "left_only_groups", "right_only_groups", "max_group_size", "suspicious_groups"
+        day(), "matched_groups", "left_only_groups", "right_only_groups", "max_group_size", "suspicious_groups", *qa.STORED_COUNTS
     )
 
 
-@query(f"WITH {_CLASSES} SELECT issue_date::varchar AS issue_date, group_id, n_left, n_right, n_total FROM cls WHERE n_total >= 6")
+@query(f"WITH {_CLASSES} SELECT issue_date::varchar AS issue_date, group_id, n_left, n_right, n_total FROM cls WHERE n_total >= 6 AND n_left > 0 AND n_right > 0")
 def oversized_groups(spark, sf_dir):
-    return qa.oversized_groups(_title_classes(spark, sf_dir)).select(day(), "group_id", "n_left", "n_right", "n_total")
+    members = _title_classes(spark, sf_dir)
+    groups = members.select("issue_date", "group_id").distinct().withColumn("match_type", F.lit(None).cast("string"))
+    return qa.oversized_groups(groups, members).select(day(), "group_id", "n_left", "n_right", "n_total")
 
 
 def expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -974,7 +986,7 @@ def expectation_hits(spark, sf_dir):
     return qa.match_expectations(found, expectations(spark, sf_dir)).select(day(), "group_id", "label")
 
 
-@query(f"WITH {_EXPECT} SELECT issue_date::varchar AS issue_date, 'group_missing' AS failure, label FROM expect WHERE label NOT IN (SELECT label FROM hit)")
+@query(f"WITH {_EXPECT} SELECT issue_date::varchar AS issue_date, 'group_missing' AS failure, label FROM expect WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.label = expect.label AND hit.issue_date = expect.issue_date)")
 def expectation_failures(spark, sf_dir):
     groups, found = _group_titles(spark, sf_dir)
     wanted = expectations(spark, sf_dir).withColumns({"kind": F.lit("group"), "value": F.lit(None).cast("int")})

@@ -158,37 +158,37 @@ TITLE_LABELS = (
 
 PUBLISHER_PREFIXES = ("^中央宣传部\\s*[、,，和与及]*\\s*全国总工会\\s*(?=联合发布|发布|表彰|授予)",)
 
-# Score, name, pattern, options: h = looked for in headlines only, c = may name a cluster.
+# Name, pattern, score, whether it is looked for in headlines only, whether it may name a cluster.
 ANCHORS = (
-    (0.96, "粮食安全保障法", "粮食安全保障法", ""),
-    (1.0, "粮食安全保障法执法检查", "粮食安全保障法.{0,12}执法检查|执法检查.{0,12}粮食安全保障法", "c"),
-    (0.88, "全国人大常委会执法检查", "全国人大常委会.{0,16}执法检查", "c"),
-    (1.0, "中美经贸磋商", "中美.{0,8}经贸磋商|美中.{0,8}经贸磋商", "c"),
-    (1.0, "中国-加州经贸论坛", "中国[\\-—－]加州经贸论坛|中国.{0,4}加州.{0,4}经贸论坛", "c"),
-    (0.42, "中美关系", "中美.{0,4}关系|美中.{0,4}关系", ""),
-    (0.54, "中美经贸关系", "中美.{0,6}经贸关系|美中.{0,6}经贸关系", ""),
-    (0.58, "中美地方经贸交流", "中美.{0,8}地方.{0,8}经贸交流|美中.{0,8}地方.{0,8}经贸交流", ""),
-    (0.54, "中美民间交往", "中美.{0,10}民间交往|美中.{0,10}民间交往", ""),
-    (0.54, "中美人文交流", "中美.{0,10}人文交流|美中.{0,10}人文交流", ""),
-    (0.54, "正确相处之道", "正确相处之道", ""),
-    (0.62, "特朗普国事访问", "特朗普.{0,40}国事访问|国事访问.{0,40}特朗普", ""),
-    (0.62, "中美元首会晤", "中美.{0,8}元首会晤|美中.{0,8}元首会晤|元首会晤", ""),
-    (0.96, "靖国神社", "靖国神社", "c"),
-    (1.0, "莫桑比克查波会谈", "莫桑比克.{0,24}查波.{0,12}会谈|查波.{0,24}莫桑比克.{0,12}会谈", "c"),
-    (0.94, "查波会谈", "查波.{0,12}会谈|会谈.{0,12}查波", "c"),
-    (1.0, "老挝沙伦赛会见", "老挝.{0,24}沙伦赛.{0,12}会见|沙伦赛.{0,24}老挝.{0,12}会见", "c"),
-    (0.94, "沙伦赛会见", "沙伦赛.{0,12}会见|会见.{0,12}沙伦赛", "c"),
-    (0.62, "中莫命运共同体联合声明", "中莫命运共同体.{0,10}联合声明|莫桑比克共和国.{0,24}联合声明", ""),
-    (0.58, "联合声明", "联合声明", ""),
-    (0.92, "向新向好稳中有进", "向新向好.{0,4}稳中有进", "c"),
-    (0.76, "向新向好", "向新向好", ""),
-    (0.76, "稳中有进", "稳中有进", ""),
-    (0.86, "树立和践行正确政绩观", "树立和践行正确政绩观|正确政绩观", "h"),
-    (0.8, "形式主义基层减负", "形式主义.{0,14}基层减负|基层减负.{0,14}形式主义", "h"),
-    (0.64, "干事创业", "干事创业", "h"),
-    (0.9, "五四主题团日活动", "五四主题团日活动", "c"),
-    (0.96, "人工智能科技伦理审查与服务先导计划", "人工智能科技伦理审查与服务先导计划", "c"),
-    (0.92, "造船统计发布", "造船.{0,16}(?:完工量|新接订单量|手持订单量|三大指标|同比增|全面增长)", "c"),
+    AnchorRule("粮食安全保障法", "粮食安全保障法", 0.96),
+    AnchorRule("粮食安全保障法执法检查", "粮食安全保障法.{0,12}执法检查|执法检查.{0,12}粮食安全保障法", 1.0, clusterable=True),
+    AnchorRule("全国人大常委会执法检查", "全国人大常委会.{0,16}执法检查", 0.88, clusterable=True),
+    AnchorRule("中美经贸磋商", "中美.{0,8}经贸磋商|美中.{0,8}经贸磋商", 1.0, clusterable=True),
+    AnchorRule("中国-加州经贸论坛", "中国[\\-—－]加州经贸论坛|中国.{0,4}加州.{0,4}经贸论坛", 1.0, clusterable=True),
+    AnchorRule("中美关系", "中美.{0,4}关系|美中.{0,4}关系", 0.42),
+    AnchorRule("中美经贸关系", "中美.{0,6}经贸关系|美中.{0,6}经贸关系", 0.54),
+    AnchorRule("中美地方经贸交流", "中美.{0,8}地方.{0,8}经贸交流|美中.{0,8}地方.{0,8}经贸交流", 0.58),
+    AnchorRule("中美民间交往", "中美.{0,10}民间交往|美中.{0,10}民间交往", 0.54),
+    AnchorRule("中美人文交流", "中美.{0,10}人文交流|美中.{0,10}人文交流", 0.54),
+    AnchorRule("正确相处之道", "正确相处之道", 0.54),
+    AnchorRule("特朗普国事访问", "特朗普.{0,40}国事访问|国事访问.{0,40}特朗普", 0.62),
+    AnchorRule("中美元首会晤", "中美.{0,8}元首会晤|美中.{0,8}元首会晤|元首会晤", 0.62),
+    AnchorRule("靖国神社", "靖国神社", 0.96, clusterable=True),
+    AnchorRule("莫桑比克查波会谈", "莫桑比克.{0,24}查波.{0,12}会谈|查波.{0,24}莫桑比克.{0,12}会谈", 1.0, clusterable=True),
+    AnchorRule("查波会谈", "查波.{0,12}会谈|会谈.{0,12}查波", 0.94, clusterable=True),
+    AnchorRule("老挝沙伦赛会见", "老挝.{0,24}沙伦赛.{0,12}会见|沙伦赛.{0,24}老挝.{0,12}会见", 1.0, clusterable=True),
+    AnchorRule("沙伦赛会见", "沙伦赛.{0,12}会见|会见.{0,12}沙伦赛", 0.94, clusterable=True),
+    AnchorRule("中莫命运共同体联合声明", "中莫命运共同体.{0,10}联合声明|莫桑比克共和国.{0,24}联合声明", 0.62),
+    AnchorRule("联合声明", "联合声明", 0.58),
+    AnchorRule("向新向好稳中有进", "向新向好.{0,4}稳中有进", 0.92, clusterable=True),
+    AnchorRule("向新向好", "向新向好", 0.76),
+    AnchorRule("稳中有进", "稳中有进", 0.76),
+    AnchorRule("树立和践行正确政绩观", "树立和践行正确政绩观|正确政绩观", 0.86, headline_only=True),
+    AnchorRule("形式主义基层减负", "形式主义.{0,14}基层减负|基层减负.{0,14}形式主义", 0.8, headline_only=True),
+    AnchorRule("干事创业", "干事创业", 0.64, headline_only=True),
+    AnchorRule("五四主题团日活动", "五四主题团日活动", 0.9, clusterable=True),
+    AnchorRule("人工智能科技伦理审查与服务先导计划", "人工智能科技伦理审查与服务先导计划", 0.96, clusterable=True),
+    AnchorRule("造船统计发布", "造船.{0,16}(?:完工量|新接订单量|手持订单量|三大指标|同比增|全面增长)", 0.92, clusterable=True),
 )
 
 ANCHOR_SCORE_PATTERNS = (
@@ -287,7 +287,7 @@ NEWSPAPER_RULES = RuleSet(
     military_cues=MILITARY_CUES,
     policy_cues=POLICY_CUES,
     slogan_cues=SLOGAN_CUES,
-    anchors=tuple(AnchorRule(name, pattern, score, "h" in opts, "c" in opts) for score, name, pattern, opts in ANCHORS),
+    anchors=ANCHORS,
     anchor_score_patterns=ANCHOR_SCORE_PATTERNS,
     event_pattern=EVENT_PATTERN,
     scoring_event_pattern=SCORING_EVENT_PATTERN,

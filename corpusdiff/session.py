@@ -59,12 +59,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can write to.
 
     A cluster names it in ``spark.checkpoint.dir``. Only where neither that setting nor a checkpoint
-    directory on the context exists (tests, one machine) a temporary folder is taken.
+    directory on the context exists (tests, one machine) a temporary folder is taken; on a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
+        if configured is None and not (context.master or "").startswith("local[") and context.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="corpusdiff-ckpt-"))
         current = context.getCheckpointDir()
     return configured or current

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from corpusdiff.operators.graph import METRICS
+from corpusdiff.session import cut_lineage, scratch_table_path
 
 SCHEMA_VERSION = 1
 
@@ -62,17 +63,24 @@ def read_snapshot(spark: SparkSession, path: str, issue_date: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("issue_date") == F.lit(issue_date).cast("date"))
 
 
-def read_with_fallback(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All dates over several stores; each date comes whole from the first store that has it."""
+def read_with_fallback(spark: SparkSession, paths: list[str], schema: str | None = None) -> DataFrame:
+    """All dates over several stores; each date comes whole from the first store that has it.
+
+    Stores that do not exist are passed over; if none does, the result is empty with ``schema``, which is then needed.
+    """
     out = None
     for priority, path in enumerate(paths):
         try:
             store = spark.read.parquet(path).withColumn("src_priority", F.lit(priority))
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
         out = store if out is None else out.unionByName(store, allowMissingColumns=True)
     if out is None:
-        raise ValueError("none of the stores exists")
+        if schema is None:
+            raise ValueError("none of the stores exists, and no schema is given")
+        return spark.createDataFrame([], schema)
     best = out.groupBy("issue_date").agg(F.min("src_priority").alias("src_priority"))
     return out.join(best, ["issue_date", "src_priority"], "left_semi").drop("src_priority")
 
@@ -145,6 +153,12 @@ def snapshot_status(units: DataFrame) -> DataFrame:
     return worst.select("issue_date", F.get(names, F.col("w")).alias("status"))
 
 
+INDEX_SCHEMA = (
+    "issue_date date, left_articles long, right_articles long, matched_left long, matched_right long, left_only long, right_only long, matched_groups long, "
+    "status string, graph struct<" + ", ".join(f"{m}: long" for m in METRICS) + ">, generated_at timestamp, judge_enabled boolean, judge_model string, path string"
+)
+
+
 def index_entries(counts: DataFrame, status: DataFrame, metrics: DataFrame, judge_enabled: bool = False, judge_model: str = "local-heuristic", generated_at: Column | None = None) -> DataFrame:
     graph = metrics.select("issue_date", F.struct(*METRICS).alias("graph"))
     return counts.join(status, "issue_date", "left").join(graph, "issue_date", "left").withColumns(
@@ -182,12 +196,17 @@ def _by_priority(a: Column, b: Column) -> Column:
 
 
 def read_index(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The merged index over several stores, first store first."""
+    """The merged index over several stores, first store first. Stores that do not exist are passed over; without any the index is empty."""
     out = None
     for priority, path in enumerate(paths):
-        store = spark.read.parquet(path).withColumn("src_priority", F.lit(priority))
+        try:
+            store = spark.read.parquet(path).withColumn("src_priority", F.lit(priority))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
         out = store if out is None else out.unionByName(store, allowMissingColumns=True)
-    return merge_indexes(out)
+    return spark.createDataFrame([], INDEX_SCHEMA) if out is None else merge_indexes(out)
 
 
 def upsert_entry(index: DataFrame, entry: DataFrame) -> DataFrame:
@@ -228,7 +247,7 @@ def backfill(
 ) -> DataFrame:
     """Build all wanted dates in one job and write them; without ``path`` nothing is written (dry run).
 
-    Returns (issue_date, result): built, skipped or failed (no rows came out).
+    Returns (issue_date, result, rows): built, skipped, or failed if this run made no rows, whatever an earlier run has left.
     """
     wanted = dates.select("issue_date").distinct()
     todo = wanted
@@ -236,14 +255,18 @@ def backfill(
     if existing is not None and skip_existing:
         done = existing.select("issue_date").distinct()
         todo, skipped = wanted.join(done, "issue_date", "left_anti"), wanted.join(done, "issue_date", "left_semi")
+    spark = dates.sparkSession
+    todo = cut_lineage(todo)
     built = build(todo)
     if path is not None:
+        own = scratch_table_path(spark, "backfill-run")
+        built.write.parquet(own)
+        built = spark.read.schema(built.schema).parquet(own)
         write_snapshot(built, path)
-        built = built.sparkSession.read.parquet(path).join(todo, "issue_date", "left_semi")
-    made = built.select("issue_date").distinct().withColumn("built", F.lit(True))
-    outcome = F.when(F.col("built"), F.lit("built")).otherwise(F.lit("failed"))
-    return todo.join(made, "issue_date", "left").select("issue_date", outcome.alias("result")).unionByName(
-        skipped.select("issue_date", F.lit("skipped").alias("result"))
+    made = built.groupBy("issue_date").agg(F.count("*").alias("rows"))
+    outcome = F.when(F.col("rows").isNotNull(), F.lit("built")).otherwise(F.lit("failed"))
+    return todo.join(made, "issue_date", "left").select("issue_date", outcome.alias("result"), F.coalesce("rows", F.lit(0)).alias("rows")).unionByName(
+        skipped.select("issue_date", F.lit("skipped").alias("result"), F.lit(0).cast("long").alias("rows"))
     )
 
 

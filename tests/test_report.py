@@ -71,9 +71,9 @@ def test_display_form_and_order(spark):
 
 
 def test_inferred_types_and_reuse(spark):
-    kinds = spark.createDataFrame([(None, 1, 1), (None, 2, 0), (None, 0, 1), ("same_event", 0, 0), (None, 0, 0)], "m string, l int, r int")
+    kinds = spark.createDataFrame([(None, 1, 1), (None, 2, 0), (None, 0, 1), ("same_event", 0, 0), (None, 0, 0), ("same_event", 1, 0), ("odd", 1, 1), ("left_only", 1, 1)], "m string, l int, r int")
     got = [x[0] for x in kinds.select(qa.infer_group_type(F.col("m"), F.col("l"), F.col("r"))).collect()]
-    assert got == ["matched", "left_only", "right_only", "same_event", "unknown"]
+    assert got == ["matched", "left_only", "right_only", "same_event", "unknown", "left_only", "matched", "left_only"]
     groups = spark.createDataFrame([(DAY, "g1", "matched"), (DAY, "g2", "matched")], "issue_date date, group_id string, match_type string")
     members = spark.createDataFrame([(DAY, "g1", "left", "a"), (DAY, "g2", "left", "a"), (DAY, "g2", "right", "b")], "issue_date date, group_id string, side string, article_id string")
     counts = spark.createDataFrame([(DAY, 3)], "issue_date date, matched_groups int")
@@ -89,3 +89,14 @@ def test_graph_order(spark):
     links = spark.createDataFrame([(DAY, "left:b", "right:r"), (DAY, "left:a", "right:r"), (DAY, "left:zz", "right:r")], "issue_date date, source string, target string")
     assert [x.source for x in g.order_links(g.valid_links(links, nodes), nodes).collect()] == ["left:a", "left:b"]
     assert spark.range(1).select(g.resolve_date(F.lit(None).cast("date"))).first()[0] == "unknown-date"
+
+
+def test_diagnosis_measures_matched_groups_only(spark):
+    groups = spark.createDataFrame([(DAY, "m", None), (DAY, "big", "left_only")], "issue_date date, group_id string, match_type string")
+    rows = [(DAY, "m", "left", "a"), (DAY, "m", "right", "b")] + [(DAY, "big", "left", f"x{i}") for i in range(9)]
+    members = spark.createDataFrame(rows, "issue_date date, group_id string, side string, article_id string")
+    stored = spark.createDataFrame([(DAY, 7, 3)], "issue_date date, matched_groups int, matched_left int")
+    row = qa.diagnose(groups, members, stored, threshold=2).first()
+    assert (row.matched_groups, row.max_group_size, row.suspicious_groups) == (1, 2, 1)
+    assert (row.matched_left, row.matched_right, row.left_only, row.right_only) == (3, 1, 9, 0)
+    assert [r.group_id for r in qa.oversized_groups(groups, members, 2).collect()] == ["m"]

@@ -168,3 +168,39 @@ def test_topic_order(spark):
     )
     got = tp.topic_keywords(rows, 3).orderBy("rank").collect()
     assert [r.term for r in got] == ["b", "a", "p"]
+
+
+def test_forced_backfill_reports_what_this_run_made(spark, tmp_path):
+    path, day = str(tmp_path / "archive"), "issue_date date, v int"
+    ar.write_snapshot(spark.createDataFrame([(dt.date(2026, 5, 1), 1), (dt.date(2026, 5, 2), 1)], day), path)
+    fresh = spark.createDataFrame([(dt.date(2026, 5, 2), 5), (dt.date(2026, 5, 2), 6)], day)
+    dates = ar.expand_dates(spark, start="2026-05-01", days=2)
+    done = ar.backfill(dates, spark.read.parquet(path), lambda todo: fresh.join(todo, "issue_date", "left_semi"), path, skip_existing=False)
+    assert {str(r.issue_date)[-2:]: (r.result, r.rows) for r in done.collect()} == {"01": ("failed", 0), "02": ("built", 2)}
+    assert sorted(r.v for r in spark.read.parquet(path).collect()) == [1, 5, 6]
+
+
+def test_missing_stores_give_an_empty_index(spark, tmp_path):
+    for paths in ([], [str(tmp_path / "no"), str(tmp_path / "nor this")]):
+        index = ar.read_index(spark, paths)
+        assert index.count() == 0 and {"issue_date", "graph", "generated_at", "status"} <= set(index.columns)
+    assert ar.read_with_fallback(spark, [str(tmp_path / "no")], "issue_date date, v int").count() == 0
+    with pytest.raises(ValueError):
+        ar.read_with_fallback(spark, [])
+
+
+def test_expectations_count_on_their_own_date(spark):
+    first, second = dt.date(2026, 5, 1), dt.date(2026, 5, 2)
+    titles = spark.createDataFrame([(first, "g", ["a x"], ["b x"])], "issue_date date, group_id string, left_titles array<string>, right_titles array<string>")
+    groups = spark.createDataFrame([(first, "g", "matched", ["1"], ["2"])], "issue_date date, group_id string, match_type string, left_articles array<string>, right_articles array<string>")
+    schema = "issue_date date, label string, left_terms array<string>, right_terms array<string>, kind string, value int"
+    wanted = spark.createDataFrame([(d, "same", ["a"], ["b"], "group", None) for d in (first, second)] + [
+        (None, "anywhere", ["a"], ["b"], "group", None), (None, "nowhere", ["z"], ["b"], "group", None),
+        (first, "count", [], [], "group_count", 2), (first, "size", [], [], "max_total", 1),
+    ], schema)
+    dates = spark.createDataFrame([(first,)], "issue_date date")
+    found = {(str(r.issue_date), r.failure, r.label) for r in qa.check_expected(groups, titles, dates, wanted).collect()}
+    assert found == {
+        ("2026-05-02", "group_missing", "same"), ("None", "group_missing", "nowhere"), ("2026-05-01", "group_count", "count"),
+        ("2026-05-01", "group_too_large", "size"), ("2026-05-02", "date_missing", "same"),
+    }

@@ -120,3 +120,18 @@ def test_newspaper_anchors(spark):
     found = one(spark, sg.anchor_terms(text, lit(""), R))
     assert found[:4] == ["粮食安全保障法", "粮食安全保障法执法检查", "全国人大常委会执法检查", "中国-加州经贸论坛"]
     assert one(spark, sg.topic_families(t.norm_anchor(text), lit(""), R)) == ["food_security_law"]
+
+
+def test_numeric_entities_of_any_length(spark):
+    def decoded(text):
+        return one(spark, t.decode_entities(lit(text)))
+
+    assert decoded("&#x000000041;&#00000000065;&#x1F600;&#128512;") == "AA😀😀"
+    for kept in ("&#x110000;", "&#9999999999;", "&#xFFFFFFFF;", "&#xD800;", "&#57343;", "&#x;", "&#;", "&#99999999999999999999;"):
+        assert decoded(f"a {kept} b") == f"a {kept} b"
+
+
+def test_long_numbers_are_not_cut(spark):
+    assert one(spark, t.parse_int(lit(" 12345678901"))) is None
+    assert one(spark, t.parse_int(lit("1234567890x"))) == 1234567890
+    assert one(spark, t.parse_int(lit("-12 3"))) == -12

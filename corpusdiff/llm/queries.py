@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdiff.llm.common import read_table, trained_on
+from corpusdiff.llm.common import read_table, stored, trained_on
 from corpusdiff.llm.context_mixing import score
 from corpusdiff.llm.langid_hd import identify
 from corpusdiff.llm.mixing import mix
@@ -37,11 +37,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 TARGETS = {"q1t0": 0.85, "q0t0": 0.10, "q1t1": 0.04, "q0t1": 0.01}
 
 
-def labelled_domains(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """Texts of ``docs`` with the domain that the labelled table gives them."""
+def labelled_domains(spark: SparkSession, sf_dir: str, docs: DataFrame, examples: int = 6000) -> DataFrame:
+    """Texts of ``docs`` with the domain that the labelled table gives them: ``examples`` rows of those that have one, by the smallest hashes.
+
+    The rows are chosen by id alone; only then are texts read, by a broadcast of at most ``examples`` ids. Of repeated ids the smallest text is taken.
+    """
     labels = read_table(spark, sf_dir, "labels")
     domain = F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))
-    return docs.select("doc_id", "text").join(labels.select("doc_id", domain.alias("domain")), "doc_id").select("text", "domain")
+    known = labels.select("doc_id", domain.alias("domain")).filter("domain IS NOT NULL").join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = stored(known.distinct().orderBy(F.xxhash64("doc_id", "domain"), "doc_id", "domain").limit(examples), "labels")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "domain").agg(F.min("text").alias("text")).select("text", "domain")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def _merge(groups: list[_Group], bounds: Bounds, plain_titles: set[str]) -> list
 
 
 def group_day(pairs: pd.DataFrame, bounds: Bounds, plain_titles: set[str]) -> pd.DataFrame:
-    """Group the accepted pairs of one date or independence block; never more than the pool holds."""
+    """Group the accepted pairs of one date or independence block."""
     pairs = pairs.sort_values(["l_pos", "l_article", "r_pos", "r_article"], kind="stable").reset_index(drop=True)
     pairs["place"] = pairs.index
     pairs = pairs.sort_values("accepted_confidence", ascending=False, kind="stable").reset_index(drop=True)
@@ -180,8 +180,8 @@ def group_pairs(
 ) -> DataFrame:
     """``(issue_date, pair_id, group_key, pair_order)`` of the pairs in final groups.
 
-    One call handles one date, at most ``candidate_limit`` pairs. With the ``block`` column of
-    :func:`independence_blocks` in ``by`` a date spreads over tasks, with the same result.
+    The build calls it with the ``block`` column of :func:`independence_blocks` in ``by``, so a date spreads over tasks, with the same
+    result as one call per date. Rows are pairs of copy classes, so copies do not enlarge a block.
     """
     bounds = bounds or Bounds()
     plain = set(rules.generic_judge_terms)
@@ -224,7 +224,7 @@ def greedy_one_to_one(pairs: DataFrame, min_conf: float = 0.48, uncertain_conf:
     return rest if taken is None else taken
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of an edge list ``(a, b)``; the component is its smallest node.
 
     Each round every node takes the smallest label around it and then its label's own label, which shortens long
@@ -234,7 +234,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
     labels = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
-    for _ in range(max_rounds):
+    while True:
         around = (
             both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         )
@@ -248,7 +248,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         labels = new.select("node", "label")
         if new.filter("label <> old").isEmpty():
             return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def independence_blocks(accepted: DataFrame) -> DataFrame:

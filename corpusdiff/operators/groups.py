@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusdiff.operators.candidates import SHOWN_TERMS
 from corpusdiff.operators.ranks import distributed_rank
 from corpusdiff.operators.scoring import REASON_TYPE, match_reasons, short_reasons
 from corpusdiff.rules import RuleSet
@@ -41,10 +42,11 @@ def _reason(basis: str, signal: Column, score: Column, weight: float, detail: Co
 def assemble_groups(accepted: DataFrame, grouped: DataFrame, rules: RuleSet) -> DataFrame:
     """One row per match group with its articles, type, scores, reasons and terms."""
     rows = accepted.join(grouped, ["issue_date", "pair_id"])
+    shown = F.slice("useful_terms", 1, SHOWN_TERMS)
     decided = F.when(
         F.col("decision_matched"),
         F.array(
-            _reason("narrative", F.lit("llm_adjudication"), F.col("decision_confidence") / 100, 0.72, F.col("decision_reason"), F.col("useful_terms"))
+            _reason("narrative", F.lit("llm_adjudication"), F.col("decision_confidence") / 100, 0.72, F.col("decision_reason"), shown)
         ),
     ).otherwise(F.array().cast(REASON_TYPE))
     article = "struct<page:int,id:string>"
@@ -52,7 +54,7 @@ def assemble_groups(accepted: DataFrame, grouped: DataFrame, rules: RuleSet) ->
         F.max("accepted_confidence").alias("confidence"),
         F.max("lexical").alias("lexical"),
         F.max("narrative").alias("narrative"),
-        F.slice(F.array_distinct(F.flatten(_in_order(F.col("useful_terms")))), 1, 12).alias("shared_terms"),
+        F.slice(F.array_distinct(F.flatten(_in_order(shown))), 1, 12).alias("shared_terms"),
         F.slice(F.array_distinct(F.flatten(_in_order(F.col("l_only")))), 1, 8).alias("left_only_terms"),
         F.slice(F.array_distinct(F.flatten(_in_order(F.col("r_only")))), 1, 8).alias("right_only_terms"),
         F.array_distinct(_in_order(F.col("l_article"))).alias("left_in_order"),
@@ -109,6 +111,38 @@ def assemble_groups(accepted: DataFrame, grouped: DataFrame, rules: RuleSet) ->
     )
 
 
+def expand_copies(groups: DataFrame, identified: DataFrame) -> DataFrame:
+    """Groups of copy classes as groups of articles, each copy in one group and no side above its bound of two.
+
+    A group holds one or two classes a side. Its n-th layer takes the n-th copies: one of each class where a side has two, two
+    where it has one. Layers with copies on both sides are groups; copies beyond the shorter side have no counterpart left. Layers follow from ranks,
+    so copies never meet as pairs.
+    """
+    key = ["issue_date", "side", "fingerprint"]
+    named = groups.select("issue_date", "group_id", F.lit("left").alias("side"), F.posexplode("left_articles").alias("class_", "id"), F.size("left_articles").alias("classes_"))
+    named = named.unionByName(
+        groups.select("issue_date", "group_id", F.lit("right").alias("side"), F.posexplode("right_articles").alias("class_", "id"), F.size("right_articles").alias("classes_"))
+    )
+    articles = identified.select(*key, "id", "pos", "page_number")
+    heads = named.join(articles.select(*key, "id"), ["issue_date", "side", "id"]).drop("id")
+    ranked = distributed_rank(articles.join(heads.select(*key), key, "left_semi"), key, ["pos", "id"])
+    placed = ranked.join(heads, key).withColumn("layer_", F.floor((F.col("rank") - 1) / F.when(F.col("classes_") > 1, 1).otherwise(2)))
+    entry = F.struct(F.col("page_number").alias("page"), "id")
+    in_order = F.struct("class_", "pos", "id")
+
+    def ids(side: str, value: Column) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, value))), lambda s: s["id"])
+
+    layers = placed.groupBy("issue_date", "group_id", "layer_").agg(
+        ids("left", entry).alias("left_"), ids("right", entry).alias("right_"), ids("left", in_order).alias("lo_"), ids("right", in_order).alias("ro_"),
+        F.coalesce(F.min(F.when(F.col("side") == "left", F.col("page_number"))), F.min("page_number")).alias("page_"),
+    ).filter((F.size("left_") > 0) & (F.size("right_") > 0))
+    return groups.join(layers, ["issue_date", "group_id"]).select(
+        F.concat(F.lit("matched:"), F.array_join("lo_", "+"), F.lit(":"), F.array_join("ro_", "+")).alias("group_id"),
+        *(F.col({"left_articles": "left_", "right_articles": "right_", "page_number": "page_"}.get(c, c)).alias(c) for c in groups.columns if c != "group_id"),
+    )
+
+
 def group_members(groups: DataFrame) -> DataFrame:
     """``(issue_date, group_id, side, article_id, pos)``."""
 

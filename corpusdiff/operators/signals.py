@@ -46,11 +46,12 @@ def scoring_anchors(normal: Column, rules: RuleSet) -> Column:
 
 
 def likely_terms(text: Column, normal: Column, rules: RuleSet) -> Column:
-    """Scoring anchors, then the words that contain a cue; the first ones of both."""
+    """Scoring anchors, then the words that contain a cue; all of them unless the rules set a limit."""
     cues = rules.military_cues + rules.policy_cues + rules.slogan_cues
     words = F.transform(F.regexp_extract_all(text, F.lit(rules.likely_pattern), F.lit(0)), t.norm_term)
     cued = F.filter(words, lambda x: (F.length(x) >= 2) & t.contains_any(x, cues))
-    return F.slice(F.array_distinct(F.concat(scoring_anchors(normal, rules), cued)), 1, rules.likely_limit)
+    terms = F.array_distinct(F.concat(scoring_anchors(normal, rules), cued))
+    return terms if rules.likely_limit is None else F.slice(terms, 1, rules.likely_limit)
 
 
 def explicit_terms(keywords: Column, entities: Column, likely: Column) -> Column:

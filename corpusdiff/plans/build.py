@@ -13,17 +13,16 @@ from corpusdiff.operators import graph as g
 from corpusdiff.operators import groups as gr
 from corpusdiff.operators import pairs as p
 from corpusdiff.operators.articles import identify, normalize_articles
-from corpusdiff.operators.grouping import Bounds, group_pairs
+from corpusdiff.operators.grouping import Bounds, group_pairs, independence_blocks
 from corpusdiff.rules import NEWSPAPER_RULES, RuleSet
 from corpusdiff.session import cut_lineage
 
 
 @dataclass(frozen=True)
 class BuildOptions:
-    """``candidate_limit`` is the size of the daily candidate report that acceptance works on."""
+    """Acceptance and grouping work on all candidate pairs of copy classes; nothing here limits them."""
 
     aggregate_unmatched: bool = True
-    candidate_limit: int = 72
     min_candidate: float = 0.12
     min_decision: float = 70
     use_judge: bool = True
@@ -31,12 +30,18 @@ class BuildOptions:
 
 
 # Options of the archive build.
-SNAPSHOT_OPTIONS = BuildOptions(aggregate_unmatched=False, candidate_limit=96, min_candidate=0.1)
+SNAPSHOT_OPTIONS = BuildOptions(aggregate_unmatched=False, min_candidate=0.1)
 
 
 def candidate_pool(articles: DataFrame, rules: RuleSet, options: BuildOptions) -> DataFrame:
     cands = c.candidate_pairs(articles, rules, options.min_candidate)
-    return c.select_pool(cands, p.class_members(identify(articles), options.candidate_limit), options.candidate_limit)
+    return c.class_pool(cands, p.class_sizes(identify(articles)))
+
+
+def candidate_report(articles: DataFrame, rules: RuleSet, options: BuildOptions, limit: int) -> DataFrame:
+    """The best ``limit`` article pairs of each date in order of admission. A report; nothing else is built on it."""
+    cands = c.candidate_pairs(articles, rules, options.min_candidate)
+    return c.select_pool(cands, p.class_members(identify(articles), limit), limit)
 
 
 def accepted_pairs(pool: DataFrame, decisions: DataFrame | None, options: BuildOptions) -> DataFrame:
@@ -45,9 +50,11 @@ def accepted_pairs(pool: DataFrame, decisions: DataFrame | None, options: BuildO
     return a.accept(a.attach_decisions(pool, decisions), options.min_decision)
 
 
-def match_groups(accepted: DataFrame, rules: RuleSet, options: BuildOptions) -> DataFrame:
+def match_groups(accepted: DataFrame, articles: DataFrame, rules: RuleSet, options: BuildOptions) -> DataFrame:
+    """Groups of articles: pairs of copy classes are grouped block by block, then the copies are dealt to the groups by rank."""
     prepared = cut_lineage(a.merge_fields(accepted, rules))
-    return gr.assemble_groups(prepared, group_pairs(prepared, rules, options.bounds), rules)
+    grouped = group_pairs(independence_blocks(prepared), rules, options.bounds, by=("issue_date", "block"))
+    return gr.expand_copies(cut_lineage(gr.assemble_groups(prepared, grouped, rules)), identify(articles))
 
 
 def build(
@@ -56,8 +63,8 @@ def build(
 ) -> dict[str, DataFrame]:
     """Articles of any shape → matched groups, members, one-sided groups and graph of every date."""
     flat = normalize_articles(articles, rules).filter("issue_date IS NOT NULL")
-    pool = candidate_pool(articles, rules, options)
-    matched = cut_lineage(match_groups(accepted_pairs(pool, decisions, options), rules, options))
+    pool = cut_lineage(candidate_pool(articles, rules, options))
+    matched = cut_lineage(match_groups(accepted_pairs(pool, decisions, options), articles, rules, options))
     members = gr.group_members(matched)
     rest = gr.unmatched(flat, members)
     groups = gr.union_groups(matched, gr.unmatched_groups(rest, options.aggregate_unmatched))

@@ -21,7 +21,7 @@ from corpusdiff.operators.articles import normalize_articles
 from corpusdiff.operators.grouping import greedy_one_to_one, group_pairs, independence_blocks
 from corpusdiff.plans import driver as d
 from corpusdiff.plans import sql_text as s
-from corpusdiff.plans.build import SNAPSHOT_OPTIONS, accepted_pairs, candidate_pool, match_groups
+from corpusdiff.plans.build import SNAPSHOT_OPTIONS, accepted_pairs, candidate_pool, candidate_report, match_groups
 from corpusdiff.session import cut_lineage, pin, scratch_table_path, spread, tune
 from corpusdiff.sources import archive as ar
 from corpusdiff.sources import feed as fd
@@ -101,7 +101,7 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match_groups(accepted(spark, sf_dir), R, SNAPSHOT_OPTIONS)
+    return match_groups(accepted(spark, sf_dir), d.articles(spark, sf_dir), R, SNAPSHOT_OPTIONS)
 
 
 def equal_title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -482,18 +482,30 @@ def date_window_pairs(spark, sf_dir):
     )
 
 
-@query(
-    f"""WITH {s.CANDIDATES} SELECT issue_date::varchar AS issue_date, pair_id, pool_rank, step AS tier, title_kind, cluster_key, topic_family, match_type,
-      round(anchor_score, 6) AS anchor_score, round(lexical, 6) AS lexical, round(narrative, 6) AS narrative, round(metadata, 6) AS metadata, round(confidence, 6) AS confidence,
-      round(priority, 6) AS priority, array_to_string(useful_terms, '|') AS useful_terms, array_to_string(shared_terms, '|') AS shared_terms FROM pool"""
-)
-def candidate_pool_report(spark, sf_dir):
-    """The daily candidate report: the best 96 pairs of each date in order of admission."""
-    return pool(spark, sf_dir).select(
-        day(), "pair_id", F.col("pool_rank").cast("long").alias("pool_rank"), "tier", "title_kind", "cluster_key", "topic_family", "match_type",
+_PAIR_SQL = """title_kind, cluster_key, topic_family, match_type, round(anchor_score, 6) AS anchor_score, round(lexical, 6) AS lexical,
+      round(narrative, 6) AS narrative, round(metadata, 6) AS metadata, round(confidence, 6) AS confidence, round(priority, 6) AS priority,
+      array_to_string(useful_terms[1:8], '|') AS useful_terms, array_to_string(shared_terms[1:12], '|') AS shared_terms"""
+
+
+def pair_columns() -> list[Column]:
+    return [
+        *map(F.col, ("title_kind", "cluster_key", "topic_family", "match_type")),
         *[r6(c, c) for c in ("anchor_score", "lexical", "narrative", "metadata", "confidence", "priority")],
-        bar("useful_terms").alias("useful_terms"), bar("shared_terms").alias("shared_terms"),
-    )
+        bar(F.slice("useful_terms", 1, 8)).alias("useful_terms"), bar(F.slice("shared_terms", 1, 12)).alias("shared_terms"),
+    ]
+
+
+@query(f"WITH {s.CANDIDATES} SELECT issue_date::varchar AS issue_date, pair_id, l_copies, r_copies, tier, {_PAIR_SQL} FROM pool")
+def candidate_pool_report(spark, sf_dir):
+    """All candidate pairs of copy classes; ``l_copies`` times ``r_copies`` article pairs stand behind a row."""
+    return pool(spark, sf_dir).select(day(), "pair_id", "l_copies", "r_copies", "tier", *pair_columns())
+
+
+@query(f"WITH {s.TOP} SELECT issue_date::varchar AS issue_date, pair_id, pool_rank, step AS tier, {_PAIR_SQL} FROM pool")
+def candidate_report_top(spark, sf_dir):
+    """The daily report: the best 96 article pairs of each date in order of admission. The limit is the feature."""
+    report = candidate_report(d.articles(spark, sf_dir), R, SNAPSHOT_OPTIONS, 96)
+    return report.select(day(), "pair_id", F.col("pool_rank").cast("long").alias("pool_rank"), "tier", *pair_columns())
 
 
 @query(
@@ -519,18 +531,18 @@ def pair_reasons(spark, sf_dir):
 
 
 @query(
-    f"""WITH {s.ACCEPTED} SELECT issue_date::varchar AS issue_date, pair_id, title_kind, matched::varchar AS decision_matched, dconf AS decision_confidence,
+    f"""WITH {s.ACCEPTED} SELECT issue_date::varchar AS issue_date, pair_id, l_copies * r_copies AS pairs, title_kind, matched::varchar AS decision_matched, dconf AS decision_confidence,
       round(accepted_confidence, 6) AS accepted_confidence FROM accepted"""
 )
 def accepted_report(spark, sf_dir):
     return accepted(spark, sf_dir).select(
-        day(), "pair_id", "title_kind", F.col("decision_matched").cast("string").alias("decision_matched"), "decision_confidence", r6("accepted_confidence", "accepted_confidence")
+        day(), "pair_id", (F.col("l_copies") * F.col("r_copies")).alias("pairs"), "title_kind", F.col("decision_matched").cast("string").alias("decision_matched"), "decision_confidence", r6("accepted_confidence", "accepted_confidence")
     )
 
 
 @query(
     f"""WITH {s.ACCEPTED}, jp AS (SELECT p.*, l.text AS l_text, r.text AS r_text, l.title AS lti, r.title AS rti FROM pool p JOIN art l ON l.id = p.l_id JOIN art r ON r.id = p.r_id)
-    SELECT issue_date::varchar AS issue_date, pair_id, array_to_string(useful_terms, '|') AS shared_terms, topic_family AS topic_signal,
+    SELECT issue_date::varchar AS issue_date, pair_id, array_to_string(useful_terms[1:8], '|') AS shared_terms, topic_family AS topic_signal,
       floor(confidence * 100 + 0.5)::int AS heuristic_confidence, lti AS left_title, rti AS right_title,
       CASE WHEN length({s.collapse('l_text')}) <= 650 THEN {s.collapse('l_text')} ELSE {s.trim(f"substr({s.collapse('l_text')}, 1, 649)")} || '…' END AS left_excerpt FROM jp"""
 )

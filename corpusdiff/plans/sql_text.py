@@ -174,7 +174,7 @@ likely AS (
     {_anchor_rules()} AS anchors, {_families()} AS families
   FROM na),
 terms AS (
-  SELECT *, list_filter({ordered_distinct('raw_terms')}[1:{R.likely_limit}], lambda e: length(e) BETWEEN 2 AND 24) AS explicit FROM likely),
+  SELECT *, list_filter({ordered_distinct('raw_terms')}, lambda e: length(e) BETWEEN 2 AND 24) AS explicit FROM likely),
 sig AS (
   SELECT id, pos, side, issue_date, page_number, title, ctitle, prominence, anchors, families, explicit, full_text,
     lower(title_nt) AS title_cmp,
@@ -199,13 +199,16 @@ KEYED = f"""{SIG}, keyed AS (SELECT *, {_keys()} AS keys FROM sig WHERE NOT igno
 _BEST = "priority DESC, l_pos, l_id, r_pos, r_id"
 
 SCORED = f"""{KEYED},
-side_rows AS (SELECT *, {grams(nc('full_text'), 3)} AS text_grams, {grams('title_cmp', 2)} AS title_grams FROM keyed WHERE len(keys) > 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY issue_date, side, title, full_text, prominence ORDER BY pos) AS copy_rank,
+    count(*) OVER (PARTITION BY issue_date, side, title, full_text, prominence) AS copies FROM keyed),
+side_rows AS (SELECT *, {grams(nc('full_text'), 3)} AS text_grams, {grams('title_cmp', 2)} AS title_grams FROM numbered WHERE len(keys) > 0 AND copy_rank = 1),
 joined AS (
   SELECT l.issue_date, l.id AS l_id, r.id AS r_id, l.pos AS l_pos, r.pos AS r_pos, l.page_number AS l_page, r.page_number AS r_page,
     l.title AS l_title, l.ctitle AS l_ctitle, r.ctitle AS r_ctitle, l.anchors AS l_anchors, r.anchors AS r_anchors,
     l.families AS l_families, r.families AS r_families, l.explicit AS le, r.explicit AS re, l.policy AS lp, r.policy AS rp,
     l.slogan AS ls, r.slogan AS rs, l.military AS lm, r.military AS rm, l.title_cmp AS lt, r.title_cmp AS rt,
-    l.text_grams AS lg, r.text_grams AS rg, l.title_grams AS ltg, r.title_grams AS rtg, l.prominence AS lpr, r.prominence AS rpr
+    l.text_grams AS lg, r.text_grams AS rg, l.title_grams AS ltg, r.title_grams AS rtg, l.prominence AS lpr, r.prominence AS rpr, l.copies AS l_copies, r.copies AS r_copies
   FROM side_rows l JOIN side_rows r ON l.issue_date = r.issue_date AND l.side = 'left' AND r.side = 'right' AND list_has_any(l.keys, r.keys)),
 s1 AS (
   SELECT * EXCLUDE (lg, rg, ltg, rtg), len(list_intersect(lg, rg)) AS tg, len(lg) + len(rg) AS tn, len(list_intersect(ltg, rtg)) AS hg, len(ltg) + len(rtg) AS hn,
@@ -218,7 +221,7 @@ s2 AS (
     CASE WHEN tn - tg = 0 THEN 0.0::double ELSE tg / (tn - tg)::double END AS text_overlap,
     0.72::double + (lpr + rpr) / 2 * 0.28::double AS metadata,
     {strength('se', '5.0')} AS named, {strength('sp', '5.0')} AS policy_score, {strength('ss', '5.0')} * 0.72::double AS slogan_score,
-    {sort_terms("list_distinct(list_concat(se, sp, ss, sm))")}[1:12] AS shared_terms,
+    {sort_terms("list_distinct(list_concat(se, sp, ss, sm))")} AS shared_terms,
     {strength('lp', '6.0')} AS lps, {strength('rm', '6.0')} AS rms
   FROM s1),
 s3 AS (SELECT *, least(1.0::double, title_sim * 0.55::double + text_overlap * 0.45::double) AS lexical,
@@ -271,7 +274,7 @@ _SHARED_ANCHORS = _by_score(f"list_filter(l_anchors, lambda e: list_contains(r_a
 CANDIDATES = f"""{PHRASED},
 c1 AS (SELECT *, {ordered_distinct(f"list_concat(CASE WHEN phrase IS NULL THEN []::varchar[] ELSE [phrase] END, {_SHARED_ANCHORS})")} AS direct_terms FROM p1),
 c2 AS (
-  SELECT *, {ordered_distinct(f"list_concat(direct_terms, list_filter(shared_terms, lambda e: {_useful('e')}))")}[1:8] AS useful_terms,
+  SELECT *, {ordered_distinct(f"list_concat(direct_terms, list_filter(shared_terms, lambda e: {_useful('e')}))")} AS useful_terms,
     greatest(0.0::double, least(1.0::double, coalesce(list_sum(list_transform(direct_terms, lambda e: {anchor_score('e')})), 0.0::double) / 2)) AS anchor_score,
     coalesce({_by_score('direct_terms', True)}[1], '') AS strongest
   FROM c1),
@@ -288,7 +291,7 @@ c4 AS (
   FROM c3),
 cand AS (
   SELECT *, CASE WHEN title_kind = 'exact' THEN 3.0::double WHEN title_kind = 'strong_phrase' THEN 1.4::double ELSE 0.0::double END
-      + CASE WHEN topic_family IS NOT NULL THEN 0.12::double ELSE 0.0::double END + anchor_score * 1.6::double + confidence + len(useful_terms) * 0.04::double AS priority,
+      + CASE WHEN topic_family IS NOT NULL THEN 0.12::double ELSE 0.0::double END + anchor_score * 1.6::double + confidence + least(len(useful_terms), 8) * 0.04::double AS priority,
     CASE WHEN title_kind = 'exact' THEN 1 WHEN title_kind = 'strong_phrase' OR anchor_score >= 0.78 THEN 2 ELSE 3 END AS tier,
     len(useful_terms) > 0 OR title_kind IS NOT NULL AS eligible,
     CASE WHEN title_kind = 'exact' THEN 'exact-title:' || l_ctitle WHEN best_anchor IS NOT NULL THEN 'anchor:' || {na('best_anchor')}
@@ -297,6 +300,10 @@ cand AS (
   FROM c4
   WHERE (topic_family IS NOT NULL OR title_kind IS NOT NULL OR len(useful_terms) > 0 OR confidence >= 0.2)
     AND (title_kind IS NOT NULL OR topic_family IS NOT NULL OR anchor_score >= 0.42 OR has_high_value OR confidence >= 0.1)),
+pool AS (SELECT *, 'pair:' || l_id || ':' || r_id AS pair_id FROM cand)"""
+
+# The daily report: all article pairs, of which each date keeps the first ones in order of admission.
+TOP = f"""{CANDIDATES.replace(' AND copy_rank = 1', '').rpartition(',' + chr(10) + 'pool AS')[0]},
 o1 AS (
   SELECT *, row_number() OVER (PARTITION BY issue_date, l_id, eligible ORDER BY {_BEST}) AS ln, row_number() OVER (PARTITION BY issue_date, r_id, eligible ORDER BY {_BEST}) AS rn,
     min({{'a': l_pos, 'b': l_id}}) OVER (PARTITION BY issue_date, r_id, eligible) AS seen
@@ -311,6 +318,7 @@ pool AS (
   SELECT *, row_number() OVER (PARTITION BY issue_date ORDER BY {_BEST}) AS pool_rank, 'pair:' || l_id || ':' || r_id AS pair_id
   FROM o3 WHERE pool_order <= 96)"""
 
+# A decision on the first articles of two copy classes holds for the pair of classes.
 _DECIDED = """
 dec AS (
   SELECT p.pair_id, l.quality = 1 AND r.quality = 1 AS matched, 100.0::double - 40 * greatest(l.toxic, r.toxic) AS dconf

@@ -87,7 +87,7 @@ def test_blocked_acceptance_loses_nothing(spark, rows, raw):
 
 
 def test_build_properties(spark, rows):
-    out = build(spark.createDataFrame(pd.DataFrame(rows)), R, options=BuildOptions(candidate_limit=500))
+    out = build(spark.createDataFrame(pd.DataFrame(rows)), R, options=BuildOptions())
     assert qa.check_invariants(out["matched"], out["members"]).count() == 0
     members = {(r.side, r.article_id) for r in out["members"].collect()}
     rest = {(r.side, r.id) for r in out["unmatched"].select("side", "id").collect()}

@@ -29,7 +29,7 @@ from corpusdiff.session import pin, ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Shares of tokens by domain that the mixture is to have.
-TARGETS = {"q1t0": 0.94, "q0t0": 0.045, "q1t1": 0.012, "q0t1": 0.003}
+TARGETS = {"q1t0": 0.89, "q0t0": 0.07, "q1t1": 0.035, "q0t1": 0.005}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

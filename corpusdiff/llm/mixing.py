@@ -1,6 +1,6 @@
 """Mixing sources to target weights with soft memberships.
 
-1. A classifier is learned from the labelled table: softmax regression on hashed words and a few character shares, fitted on a documented bounded
+1. A classifier is learned from the labelled table: softmax regression on hashed words and a few shares of characters and words, fitted on a documented bounded
    sample (``examples`` labelled rows, those with the smallest hashes). It gives every document a posterior over the domains.
 2. Every document i with n_i tokens and posterior p_i gets a rate r_i >= 0 so that the expected tokens of each domain, sum of r_i n_i p_i, match the targets in
    the least-squares sense. Starting from rates of 1, each round takes the residual per domain, scales it by the curvature of the documents that are not at
@@ -23,27 +23,31 @@ from pyspark.sql import functions as F
 
 from corpusdiff.llm.common import stored
 
-BUCKETS, SHAPES = 1 << 14, 4
+BUCKETS, SHAPES = 1 << 18, 8
+LEAST_TEXTS = 30  # sample texts that must have a hashed word before it gets a weight
+RIDGE = 3.0
 SYMBOLS = b"#*$%&|<>"
 MAX_DOMAINS = 100
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Feature numbers and values of a text, and its words. Values: damped counts of hashed words at unit length, then character shares."""
+    """Feature numbers and values of a text, and its words. Values: damped counts of hashed words, then shares of characters and words."""
     data = (text or "").encode("utf-8", "surrogatepass")
     found = data.lower().split()
     bucket, counts = np.unique(np.fromiter((zlib.crc32(w) for w in found), np.int64, len(found)) % BUCKETS, return_counts=True)
-    values = np.log1p(counts)
-    values = values / max(float(np.sqrt(values @ values)), 1e-9)
-    size = max(len(data), 1)
-    symbols = sum(data.count(c) for c in SYMBOLS)
-    upper = len(data) - len(data.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    digits = len(data) - len(data.translate(None, b"0123456789"))
-    shares = np.array([1.0, min(1.0, 10 * symbols / size), min(1.0, 2 * upper / size), min(1.0, 10 * digits / size)])
-    return np.concatenate((bucket, BUCKETS + np.arange(SHAPES))), np.concatenate((values, shares)), len(found)
+    size, n = max(len(data), 1), max(len(found), 1)
 
+    def without(characters: bytes) -> int:
+        return len(data) - len(data.translate(None, characters))
 
-def fit_classifier(labelled: DataFrame, text_col: str, domain_col: str, examples: int = 6000, rounds: int = 60) -> tuple[list[str], np.ndarray]:
+    shares = np.array([
+        1.0, min(1.0, 10 * without(SYMBOLS) / size), min(1.0, 2 * without(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") / size), min(1.0, 10 * without(b"0123456789") / size),
+        min(1.0, 10 * data.count(b"!") / size), len(bucket) / n, min(1.0, 20 * data.count(b"\n") / size), min(1.0, np.log1p(n) / 10),
+    ])
+    return np.concatenate((bucket, BUCKETS + np.arange(SHAPES))), np.concatenate((np.log1p(counts), shares)), len(found)
+
+
+def fit_classifier(labelled: DataFrame, text_col: str, domain_col: str, examples: int = 6000, rounds: int = 150) -> tuple[list[str], np.ndarray]:
     """Domains in order of name, and weights (features x domains), from rows with a domain; no domains if there are none."""
     rows = labelled.filter(F.col(domain_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(domain_col).cast("string").alias("domain"))
     names = [r["domain"] for r in rows.select("domain").distinct().orderBy("domain").limit(MAX_DOMAINS + 1).collect()]
@@ -67,15 +71,18 @@ def fit_classifier(labelled: DataFrame, text_col: str, domain_col: str, examples
     index, value = (np.concatenate([np.asarray(x.values) for x in sample[c]]) for c in ("i", "v"))
     truth = np.searchsorted(np.array(names), np.array(sample["domain"].to_pylist()))
     target = np.eye(len(names))[truth]
-    weights, squares = np.zeros((BUCKETS + SHAPES, len(names))), np.full((BUCKETS + SHAPES, len(names)), 1e-6)
+    common = np.bincount(index, minlength=BUCKETS + SHAPES) >= LEAST_TEXTS
+    common[BUCKETS:] = True
+    owner, index, value = owner[common[index]], index[common[index]], value[common[index]]
+    distinct, at = np.unique(index, return_inverse=True)
+    own, squares = np.zeros((len(distinct), len(names))), np.full((len(distinct), len(names)), 1e-6)
     for _ in range(rounds):  # full-batch steps, each weight with its own rate
-        slope = np.zeros_like(weights)
-        error = target - posteriors(np.stack([np.bincount(owner, value * weights[index, d], len(lengths)) for d in range(len(names))], 1))
-        for d in range(len(names)):
-            slope[:, d] = np.bincount(index, value * error[owner, d], len(weights))
-        slope -= 0.02 * weights
+        error = target - posteriors(np.stack([np.bincount(owner, value * own[at, d], len(lengths)) for d in range(len(names))], 1))
+        slope = np.stack([np.bincount(at, value * error[owner, d], len(distinct)) for d in range(len(names))], 1) - RIDGE * own
         squares += slope * slope
-        weights += 0.3 * slope / np.sqrt(squares)
+        own += 0.3 * slope / np.sqrt(squares)
+    weights = np.zeros((BUCKETS + SHAPES, len(names)))
+    weights[distinct] = own
     return names, weights
 
 

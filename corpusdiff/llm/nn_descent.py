@@ -4,7 +4,7 @@ Vectors of one label are compared by cosine in double precision. Equal vectors a
 
 1. A first neighbour list of ``k`` per node comes from hashed sign patterns of random directions: nodes of one leaf, cut into chunks, are compared.
 2. NN-descent: the forward and reverse neighbours of a node are compared with each other in one local join; better neighbours enter the lists. Rounds go on until
-   few entries change.
+   few links are new.
 3. Entries of at least the threshold are links. A node whose whole list is links is saturated: it may have more than ``k``. Its component is compared in full, in tiles
    dealt over tasks, which counts its links instead of listing them. So a dense group of any size loses nothing and sends no pairs.
 4. Audit: the links of a bounded sample of nodes are counted against all vectors, in blocks, and the recall is taken. Below the target, lists and trees
@@ -148,11 +148,13 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return unique.withColumn("place", place).filter(F.col("place") <= k).select("node", "other", "cosine")
 
 
-def _descend(nodes: DataFrame, lists: DataFrame, k: int, change: float) -> DataFrame:
-    """Rounds of local joins until at most the share ``change`` of the list entries is new in a round."""
+def _descend(nodes: DataFrame, lists: DataFrame, k: int, change: float, threshold: float) -> DataFrame:
+    """Rounds of local joins until at most the share ``change`` of the entries that are links is new in a round.
+
+    Entries below the threshold go on improving for longer, but no result depends on them.
+    """
     lists = stored(_best(lists, k), "lists")
-    size = lists.count()
-    while size:
+    while not lists.isEmpty():
         hashed = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("node", "other")))
         back = lists.select(F.col("other").alias("node"), F.col("node").alias("other")).withColumn("place", hashed)
         around = lists.select("node", "other").union(back.filter(F.col("place") <= k).select("node", "other"))
@@ -170,9 +172,10 @@ def _descend(nodes: DataFrame, lists: DataFrame, k: int, change: float) -> DataF
 
         found = _by_group(around, "center", improve, "node long, other long, cosine double")
         new = stored(_best(lists.union(found), k), "lists")
-        fresh = new.join(lists, ["node", "other"], "left_anti").count()
-        lists, size = new, new.count()
-        if fresh <= change * size:
+        near = new.filter(F.col("cosine") >= threshold)
+        fresh = near.join(lists, ["node", "other"], "left_anti").count()
+        lists = new
+        if fresh <= change * near.count():
             break
     return lists
 
@@ -246,7 +249,7 @@ def near_duplicates(
     """
     rows, nodes = _nodes(df, id_col, vector_col, label_col)
     while True:
-        lists = _descend(nodes, _first_lists(nodes, k, trees, chunk), k, change)
+        lists = _descend(nodes, _first_lists(nodes, k, trees, chunk), k, change, threshold)
         links = stored(lists.filter(F.col("cosine") >= threshold).select("node", "other"), "near")
         both = stored(links.union(links.select("other", "node")).distinct(), "near")
         parts = stored(connected_components(both, "node", "other"), "components")

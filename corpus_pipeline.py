@@ -4,7 +4,7 @@ Rows with nulls, empty or very long texts, repeated rows and clashing ids go thr
 the columns of ``documents`` (columns that are not among these are dropped first), with these effects:
 
 1. ``language_id``: a document without letters, or with a null text, goes. A missing ``lang`` is filled with the predicted language.
-2. ``near_duplicates``: of each SimHash group the document with the smallest id stays (of equal ids the one read first; null ids come last).
+2. ``near_duplicates``: of each group of texts with five-word shingles of a similarity of about 0.8 or more (SimHash, 256 bits) the document with the smallest id stays (of equal ids the one read first; null ids come last).
 3. ``secret_scan``: secrets in the text are replaced by ``[SECRET]``; ``n_chars`` follows. No document goes.
 4. ``mixing``: a document is used as often as its rate says: dropped, kept or repeated. The targets ask for more of the good domain than there is, so
    its rates are 1 or more.
@@ -24,7 +24,7 @@ from corpusdiff.llm.mixing import copies, mix
 from corpusdiff.llm.packing import pack
 from corpusdiff.llm.queries import labelled_domains
 from corpusdiff.llm.secret_formats import mask, secret_spans
-from corpusdiff.llm.simhash_gray import simhash_components
+from corpusdiff.llm.simhash_gray import similar_components
 from corpusdiff.session import pin, ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship_package(spark)
     rows = stored(docs.select(*COLUMNS).withColumn("row_", F.monotonically_increasing_id()), "numbered")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_")
-    groups = simhash_components(rows.withColumn("order_", order), id_col="order_")
+    groups = similar_components(rows.withColumn("order_", order), id_col="order_")
     kept = groups.filter(F.col("order_") == F.col("component_id")).select(F.col("order_.row_").alias("row_"))
     return rows.join(kept, "row_", "left_semi").select(*COLUMNS)
 

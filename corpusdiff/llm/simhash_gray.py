@@ -10,12 +10,13 @@
    more than ``max_bits`` is pruned with everything below it.
 5. Each partition sends the links of a spanning forest, at most one per entry, and the components are joined in rounds.
 
-Every pair within ``max_bits`` ends in the same component; none beyond it is ever linked.
+Every pair within ``max_bits`` ends in the same component; none beyond it is ever linked. ``similar_components`` uses the same index for fingerprints of 256 bits,
+which tell a shingle similarity of 0.8 from less.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,8 @@ from corpusdiff.llm.common import slices, stored
 from corpusdiff.llm.components import connected_components
 
 SEED = 42
-BANDS, BAND_BITS = 4, 16
+BAND_BITS = 16
+WIDE = 4
 LEAF, FAN = 8, 8
 PAIRS_AT_ONCE = 1 << 21
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -79,13 +81,16 @@ class GrayIndex:
     """Hierarchical index over entries in several groups; only entries of one group are compared."""
 
     def __init__(self, group: np.ndarray, values: np.ndarray):
-        self.order = np.lexsort((gray_rank(values), group))
+        """``values``: a 64-bit number per entry, or a row of them."""
+        first = values if values.ndim == 1 else values[:, 0]
+        self.order = np.lexsort((gray_rank(first), group))
         self.values = values[self.order]
         group = group[self.order]
+        rows = self.values.reshape(len(values), -1)
         heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         sizes = np.diff(np.concatenate((heads, [len(group)])))
         # levels[0] are the entries themselves; a level: first child of each node, all and any of its bits
-        self.levels = [(np.arange(len(group) + 1), self.values, self.values)]
+        self.levels = [(np.arange(len(group) + 1), rows, rows)]
         step = LEAF
         while True:
             counts = -(-sizes // step)
@@ -93,7 +98,7 @@ class GrayIndex:
             starts = np.repeat(first, counts) + step * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
             _, every, some = self.levels[-1]
             self.levels.append(
-                (np.concatenate((starts, [len(every)])), np.bitwise_and.reduceat(every, starts), np.bitwise_or.reduceat(some, starts))
+                (np.concatenate((starts, [len(every)])), np.bitwise_and.reduceat(every, starts, axis=0), np.bitwise_or.reduceat(some, starts, axis=0))
             )
             sizes = counts
             if (counts == 1).all():
@@ -123,13 +128,13 @@ class GrayIndex:
             _, every, some = self.levels[level - 1]
             # a bit is shared in a node if all or none of its entries have it; differences of shared bits are a lower bound
             apart = (every[a] & ~some[b]) | (every[b] & ~some[a])
-            keep = (np.bitwise_count(apart) <= max_bits) & ((a < b) if level == 1 else (a <= b))
+            keep = (np.bitwise_count(apart).sum(axis=1) <= max_bits) & ((a < b) if level == 1 else (a <= b))
             if keep.any():
                 stack.append((level - 1, a[keep], b[keep]))
 
 
 def forest(group: np.ndarray, values: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest over all pairs within ``max_bits`` inside the groups: value and value of its root."""
+    """Links of a spanning forest over all pairs within ``max_bits`` inside the groups: places of entries and of their roots."""
     index = GrayIndex(group, values)
     label = np.arange(len(values))
     for a, b in index.pairs(max_bits):
@@ -144,50 +149,68 @@ def forest(group: np.ndarray, values: np.ndarray, max_bits: int) -> tuple[np.nda
             if (label[a] == label[b]).all():
                 break
     linked = np.flatnonzero(label != np.arange(len(values)))
-    return index.values[linked], index.values[label[linked]]
-
-
-def _band_rows(entries: DataFrame, tile: int) -> DataFrame:
-    """``(shard, fp)``: every entry under each of its bands, entries of large bands under each pair of their tile with another."""
-    mask = (1 << BAND_BITS) - 1
-    rows = entries.select("fp", F.explode(F.array(*[
-        F.shiftrightunsigned("fp", BAND_BITS * k).bitwiseAND(F.lit(mask)) + k * (mask + 1) for k in range(BANDS)
-    ])).alias("band"))
+    return index.order[linked], index.order[label[linked]]
+
+
+def _band_rows(entries: DataFrame, band_bits: int, n_words: int, tile: int) -> DataFrame:
+    """Every entry under each of its bands, entries of large bands under each pair of their tile with another."""
+    per_word = 64 // band_bits
+    mask = (1 << band_bits) - 1
+    bands = [
+        F.shiftrightunsigned(F.get("w", F.lit(word)), band_bits * k).bitwiseAND(F.lit(mask)) + (word * per_word + k) * (mask + 1)
+        for word in range(n_words) for k in range(per_word)
+    ]
+    rows = entries.select("node", "w", F.explode(F.array(*bands)).alias("band"))
     large = stored(rows.groupBy("band").count().filter(F.col("count") > tile).withColumn("tiles", F.ceil(F.col("count") / tile)), "bands")
     if large.isEmpty():
-        return rows.select("band", F.lit(0).cast("long").alias("pair"), "fp")
+        return rows.select("band", F.lit(0).cast("long").alias("pair"), "node", "w")
     sized = rows.join(large.select("band", "tiles"), "band", "left")
     tiles = F.coalesce(F.col("tiles"), F.lit(1)).cast("long")
-    own = F.pmod(F.xxhash64("fp"), tiles)
-    return sized.select("band", "fp", tiles.alias("tiles"), own.alias("own")).select(
-        "band", "fp",
+    own = F.pmod(F.xxhash64("node"), tiles)
+    return sized.select("band", "node", "w", tiles.alias("tiles"), own.alias("own")).select(
+        "band", "node", "w",
         F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda other: (
             F.least(other, F.col("own")) * F.col("tiles") + F.greatest(other, F.col("own"))
         ))).alias("pair"),
-    ).select("band", "pair", "fp")
+    ).select("band", "pair", "node", "w")
 
 
-def fingerprint_links(entries: DataFrame, max_bits: int = 3, tile: int = 20_000, rows_per_task: int = 400_000) -> DataFrame:
-    """Links ``(a, b)`` between distinct fingerprints ``fp`` whose components are those of all pairs within ``max_bits``."""
-    if not 0 <= max_bits < BANDS:
-        raise ValueError(f"max_bits must be below {BANDS}")
-    dealt = _band_rows(entries, tile)
-    parts = slices(entries.sparkSession, entries.count() * BANDS, rows_per_task, entries.sparkSession.sparkContext.defaultParallelism)
+def fingerprint_links(
+    entries: DataFrame, max_bits: int = 3, band_bits: int = 16, n_words: int = 1, tile: int = 20_000, rows_per_task: int = 400_000
+) -> DataFrame:
+    """Links ``(a, b)`` between nodes whose components are those of all pairs within ``max_bits`` that agree in a band.
+
+    ``entries``: ``node`` and ``w``, an array of ``n_words`` 64-bit numbers. If there are more bands than ``max_bits``, every pair within ``max_bits`` agrees in one.
+    """
+    dealt = _band_rows(entries, band_bits, n_words, tile)
+    amount = entries.count() * (64 // band_bits) * n_words
+    parts = slices(entries.sparkSession, amount, rows_per_task, entries.sparkSession.sparkContext.defaultParallelism)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b["band"].to_numpy(), b["pair"].to_numpy(), b["fp"].to_numpy()) for b in batches if b.num_rows]
+        held = [(b["band"].to_numpy(), b["pair"].to_numpy(), b["node"].to_numpy(), b["w"].flatten().to_numpy()) for b in batches if b.num_rows]
         if not held:
             return
-        band, pair, fp = (np.concatenate(x) for x in zip(*held))
+        band, pair, node, words = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((pair, band))
-        band, pair, fp = band[order], pair[order], fp[order]
+        band, pair, node, words = band[order], pair[order], node[order], words.reshape(len(node), -1)[order]
         group = np.cumsum(np.concatenate(([False], (band[1:] != band[:-1]) | (pair[1:] != pair[:-1]))))
-        a, b = forest(group, fp.view(np.uint64), max_bits)
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        a, b = forest(group, words.view(np.uint64), max_bits)
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     return dealt.repartition(parts, "band", "pair").mapInArrow(search, "a long, b long").distinct()
 
 
+def _components(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``prints`` (``id``, ``fp``) with ``component_id``; ``links`` makes links between the distinct fingerprints ``fp``."""
+    entries = stored(prints.groupBy("fp").agg(F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "entries")
+    parts = connected_components(links(entries))
+    linked = stored(parts.join(entries, "node"), "linked")
+    roots = stored(linked.groupBy("component").agg(F.min("first").alias("root")), "roots")
+    placed = linked.join(roots, "component").select("node", "root")
+    named = stored(entries.join(placed, "node", "left").select("fp", F.coalesce("root", "first").alias("component_id")), "named")
+    return prints.join(named, "fp")
+
+
 def simhash_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3, tile: int = 20_000
 ) -> DataFrame:
@@ -196,14 +219,46 @@ def simhash_components(
     Null texts and texts without words have fingerprint 0 and link like any other. Repeated rows give repeated rows. A null id
     keeps its row and never names a component unless all ids of the component are null. Other columns of ``df`` are not read.
     """
+    if not 0 <= max_bits < 64 // BAND_BITS:
+        raise ValueError("max_bits must be below the number of bands")
     prints = stored(df.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), width).alias("fp")), "fingerprints")
-    entries = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "entries")
-    parts = connected_components(fingerprint_links(entries, max_bits, tile))
-    linked = stored(parts.withColumnRenamed("node", "fp").join(entries, "fp"), "linked")
-    roots = stored(linked.groupBy("component").agg(F.min("first").alias("root")), "roots")
-    placed = linked.join(roots, "component").select("fp", "root")
-    named = stored(entries.join(placed, "fp", "left").select("fp", F.coalesce("root", "first").alias("component_id")), "named")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    found = _components(prints, lambda e: fingerprint_links(e.select("node", F.array("fp").alias("w")), max_bits, BAND_BITS, 1, tile))
+    return found.select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> np.ndarray:
+    """Like ``fingerprint``, of ``WIDE`` 64-bit numbers, from two seeded 128-bit hashes of each shingle."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.zeros(WIDE, np.uint64)
+    joined = b" ".join(found)
+    starts, ends = [0], [len(joined)]
+    if len(found) > width:
+        after = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+        starts, ends = np.concatenate(([0], after[:-width])).tolist(), (after[width - 1 :] - 1).tolist()
+    digest = xxhash.xxh3_128_digest
+    places = np.frombuffer(b"".join([digest(joined[i:j], seed) for i, j in zip(starts, ends) for seed in (SEED, SEED + 1)]), np.uint8).reshape(len(starts), 8 * WIDE)
+    ones = np.concatenate([np.bincount(places[:, k], minlength=256) @ _BITS for k in range(8 * WIDE)])
+    return np.packbits(2 * ones > len(starts), bitorder="little").view(np.uint64)
+
+
+def similar_components(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, max_bits: int = 46, band_bits: int = 12, tile: int = 20_000
+) -> DataFrame:
+    """``(id_col, component_id)`` per row of ``df``: texts whose shingles of ``width`` words have a similarity of about 0.8 or more.
+
+    A Jaccard similarity of 0.8 is a cosine of 0.89 of the shingle counts and 39 of 256 bits, give or take 6; within ``max_bits`` = 46 are nine of ten such pairs,
+    and none of texts that share little (128 bits apart). A pair must agree in one of 20 bands of 12 bits, which 95 % of the pairs at 0.8 and 99 % of those
+    at 0.85 do. With more documents wider bands keep groups small, at some of that recall. Nulls, empty texts and repeated rows as in ``simhash_components``.
+    """
+
+    @F.pandas_udf("array<long>")
+    def wide(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(t, width).view(np.int64) for t in texts], dtype=object)
+
+    prints = stored(df.select(F.col(id_col).alias("id"), wide(F.col(text_col)).alias("fp")), "fingerprints")
+    found = _components(prints, lambda e: fingerprint_links(e.select("node", F.col("fp").alias("w")), max_bits, band_bits, WIDE, tile))
+    return found.select(F.col("id").alias(id_col), "component_id")
 
 
 def hex_digits(fp: Column) -> Column:

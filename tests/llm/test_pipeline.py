@@ -2,7 +2,7 @@ from collections import Counter
 
 import corpus_pipeline as p
 from corpusdiff.llm.common import stored
-from corpusdiff.llm.simhash_gray import fingerprint
+from corpusdiff.llm.simhash_gray import wide_fingerprint
 from tests.llm.edge_rows import TEXTS, edge_frame, empty_frame
 from tests.llm.test_packing import check
 from tests.llm.test_simhash import plain_components
@@ -25,7 +25,8 @@ def test_stages_on_awkward_rows(spark):
     assert Counter(r["text"] for r in seen["language_id"]) == Counter(r[1] for r in letters)
     assert all(r["lang"] for r in seen["language_id"])
     rows = seen["language_id"]
-    groups = plain_components(list(range(len(rows))), [fingerprint(r["text"]) for r in rows])
+    prints = [int.from_bytes(wide_fingerprint(r["text"]).tobytes(), "little") for r in rows]
+    groups = plain_components(list(range(len(rows))), prints, bits=46)
     assert len(seen["near_duplicates"]) == len(set(groups))
     assert {r["doc_id"] for r in seen["near_duplicates"]} >= {1} and 2 not in {r["doc_id"] for r in seen["near_duplicates"]}
     masked = [r for r in seen["secret_scan"] if "[SECRET]" in r["text"]]

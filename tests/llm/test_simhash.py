@@ -63,10 +63,10 @@ def test_components_with_and_without_tiles(spark):
     values = clusters()
     ids = list(range(len(values)))
     want = plain_components(ids, [int(v) for v in values])
-    entries = spark.createDataFrame([(i, int(v.view(np.int64))) for i, v in zip(ids, values)], "id long, fp long")
+    entries = spark.createDataFrame([(i, i, [int(v.view(np.int64))]) for i, v in zip(ids, values)], "id long, node long, w array<long>")
     for tile in (20_000, 3):
         links = s.connected_components(s.fingerprint_links(entries, tile=tile))
-        named = entries.join(links, entries.fp == links.node, "left").collect()
+        named = entries.join(links, "node", "left").collect()
         first = {}
         for r in named:
             first[r["component"]] = min(first.get(r["component"], r["id"]), r["id"])
@@ -80,3 +80,29 @@ def test_awkward_rows(spark):
     want = plain_components([r[0] for r in TEXTS], prints)
     assert sorted(map(str, ((r["doc_id"], r["component_id"]) for r in got))) == sorted(map(str, zip([r[0] for r in TEXTS], want)))
     assert s.simhash_components(empty_frame(spark)).count() == 0
+
+
+def test_similar_texts_meet_and_others_do_not(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(3000)]
+    rows, truth = [], []
+    for group in range(25):
+        text = list(rng.choice(words, 300))
+        rows.append((len(rows), " ".join(text)))
+        truth.append(group)
+        for _ in range(2):
+            copy = list(text)
+            for at in rng.choice(300, 4, replace=False):  # about 0.87 of the five-word shingles stay common
+                copy[at] = "other"
+            rows.append((len(rows), " ".join(copy)))
+            truth.append(group)
+    found = {r["doc_id"]: r["component_id"] for r in s.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {g: truth.index(g) for g in truth}
+    assert sum(found[k] == first[g] for k, g in enumerate(truth)) >= 0.97 * len(rows)
+    assert all(truth[found[k]] == g for k, g in enumerate(truth))
+
+
+def test_similar_awkward_rows(spark):
+    rows = s.similar_components(edge_frame(spark)).collect()
+    assert len(rows) == len(TEXTS) and s.similar_components(empty_frame(spark)).count() == 0
+    assert {r["component_id"] for r in rows if r["doc_id"] in (1, 2)} == {1} and {r["component_id"] for r in rows if r["doc_id"] in (3, 4, 5)} == {3}

@@ -466,17 +466,17 @@ def exact_title_classes(spark, sf_dir):
 
 
 @query(
-    """WITH x AS (SELECT user_id, event_type, ts::date AS dt, count(*) AS n FROM events WHERE event_type IN ('error', 'purchase') GROUP BY ALL)
+    """WITH x AS (SELECT user_id, event_type, ts::date AS dt, count(*) AS n FROM events GROUP BY ALL)
     SELECT CASE WHEN l.dt = r.dt THEN 1.0::double WHEN abs(l.dt - r.dt) <= 1 THEN 0.9::double WHEN abs(l.dt - r.dt) <= 3 THEN 0.75::double WHEN abs(l.dt - r.dt) <= 7 THEN 0.52::double
         WHEN abs(l.dt - r.dt) <= 14 THEN 0.26::double ELSE 0.08::double END AS proximity, sum(l.n * r.n)::bigint AS pairs, count(DISTINCT l.user_id) AS users
-    FROM x l JOIN x r ON l.user_id = r.user_id AND l.event_type = 'error' AND r.event_type = 'purchase' AND abs(l.dt - r.dt) <= 10 GROUP BY 1"""
+    FROM x l JOIN x r ON l.user_id = r.user_id AND l.event_type < r.event_type AND abs(l.dt - r.dt) <= 10 GROUP BY 1"""
 )
 def date_window_pairs(spark, sf_dir):
-    """Pairs of a key at most ten days apart by proximity band; rows are counted per key and day before the join."""
+    """Pairs of events of two types of a key at most ten days apart by proximity band; rows are counted per key and day before the join."""
     days = d.table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("dt"), "event_type").agg(F.count("*").alias("n"))
-    left = days.filter("event_type = 'error'").select("user_id", F.col("dt").alias("l_issue_date"), F.col("n").alias("ln"))
-    right = days.filter("event_type = 'purchase'").select("user_id", F.col("dt").alias("r_issue_date"), F.col("n").alias("rn"))
-    near = p.pairs_within(left, right, 10, "user_id")
+    left = days.select("user_id", F.col("event_type").alias("l_type"), F.col("dt").alias("l_issue_date"), F.col("n").alias("ln"))
+    right = days.select("user_id", F.col("event_type").alias("r_type"), F.col("dt").alias("r_issue_date"), F.col("n").alias("rn"))
+    near = p.pairs_within(left, right, 10, "user_id").filter("l_type < r_type")
     return near.groupBy(sc.date_proximity(F.col("l_issue_date"), F.col("r_issue_date")).alias("proximity")).agg(
         F.sum(F.col("ln") * F.col("rn")).alias("pairs"), F.count_distinct("user_id").alias("users")
     )

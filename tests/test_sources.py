@@ -157,9 +157,11 @@ def test_rules_without_a_date(spark):
     hits = {(r.group_id, r.label, r.failure) for r in qa.check_forbidden(titles, rules).collect()}
     assert hits == {("g1", "everywhere", "forbidden_pair"), ("g2", "everywhere", "forbidden_pair"), ("g2", "term", "forbidden_term")}
     assert qa.match_expectations(titles, rules.filter("kind = 'group'")).count() == 0
-    with pytest.raises(ValueError):
-        many = spark.range(qa.MAX_GLOBAL_RULES + 1).select(F.lit(None).cast("string").alias("issue_date"), F.lit("x").alias("label"), F.array(F.lit("a")).alias("left_terms"), F.array(F.lit("b")).alias("right_terms"))
-        qa.match_expectations(titles, many)
+    term = F.when(F.col("id") == 7, "b").otherwise(F.concat(F.lit("no"), F.col("id").cast("string")))
+    many = spark.range(3000).select(F.lit(None).cast("string").alias("issue_date"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("label"), F.array(term).alias("left_terms"), F.array(F.lit("x")).alias("right_terms"))
+    assert [(r.group_id, r.label) for r in qa.match_expectations(titles, many).collect()] == [("g1", "r7")]
+    empty = many.filter("label = 'r7'").withColumns({"left_terms": F.array().cast("array<string>"), "right_terms": F.array(F.lit("y"))})
+    assert [r.group_id for r in qa.match_expectations(titles, empty).collect()] == ["g1"]
 
 
 def test_topic_order(spark):

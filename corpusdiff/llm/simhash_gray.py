@@ -32,7 +32,7 @@ SEED = 42
 BAND_BITS = 16
 WIDE = 4
 LEAF, FAN = 8, 8
-PAIRS_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE = 1 << 18
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -176,7 +176,7 @@ def _band_rows(entries: DataFrame, band_bits: int, n_words: int, tile: int) -> D
 
 
 def fingerprint_links(
-    entries: DataFrame, max_bits: int = 3, band_bits: int = 16, n_words: int = 1, tile: int = 20_000, rows_per_task: int = 400_000
+    entries: DataFrame, max_bits: int = 3, band_bits: int = 16, n_words: int = 1, tile: int = 20_000, rows_per_task: int = 100_000
 ) -> DataFrame:
     """Links ``(a, b)`` between nodes whose components are those of all pairs within ``max_bits`` that agree in a band.
 

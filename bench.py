@@ -12,7 +12,7 @@ from corpusdiff.session import local_session
 
 HEADLINE = (
     "article_signals", "shingle_sets", "html_articles", "feed_articles", "exact_title_classes", "title_groups", "graph_metrics",
-    "snapshot_counts", "candidate_pool_report", "match_groups_report", "index_merge", "side_summary",
+    "snapshot_counts", "candidate_pool_report", "index_merge", "side_summary",
 )
 
 

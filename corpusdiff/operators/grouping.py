@@ -53,6 +53,8 @@ def _fits(left: set, right: set, n_pairs: int, bounds: Bounds) -> bool:
 
 
 def _can_join(a: _Group, b: _Group, bounds: Bounds) -> bool:
+    if len(a.ranks) + len(b.ranks) > bounds.pairs:
+        return False
     return _fits(a.left.keys() | b.left.keys(), a.right.keys() | b.right.keys(), len(a.ranks) + len(b.ranks), bounds)
 
 
@@ -104,27 +106,27 @@ def _split(group: _Group, single: dict[int, _Group], bounds: Bounds) -> list[_Gr
 
 
 def _merge(groups: list[_Group], bounds: Bounds, plain_titles: set[str]) -> list[_Group]:
-    """Join the first mergeable two groups in rank order, again and again, until none is left."""
+    """Join the first mergeable two groups in rank order, again and again, until none is left.
+
+    A row of the order that has been refused throughout needs another look only at a group that has changed since.
+    """
     groups = sorted(groups, key=lambda g: g.ranks[0])
-    refused: set[tuple[int, int]] = set()
-    alive = list(groups)  # keeps object ids unique while they serve as memo keys
-
-    def next_pair():
-        for i, a in enumerate(groups):
-            for j in range(i + 1, len(groups)):
-                b = groups[j]
-                if (id(a), id(b)) in refused:
-                    continue
-                if _can_join(a, b, bounds) and _same_story(a, b, plain_titles):
-                    return i, j
-                refused.add((id(a), id(b)))
-        return None
-
-    while (found := next_pair()) is not None:
-        i, j = found
+
+    def mergeable(a: _Group, b: _Group) -> bool:
+        return _can_join(a, b, bounds) and _same_story(a, b, plain_titles)
+
+    i = 0
+    while i < len(groups):
+        j = next((j for j in range(i + 1, len(groups)) if mergeable(groups[i], groups[j])), None)
+        if j is None:
+            i += 1
+            continue
         groups[i] = groups[i].joined(groups[j])
-        alive.append(groups[i])
         del groups[j]
+        while (k := next((k for k in range(i) if mergeable(groups[k], groups[i])), None)) is not None:
+            groups[k] = groups[k].joined(groups[i])
+            del groups[i]
+            i = k
     return groups
 
 

@@ -46,7 +46,7 @@ def scoring_anchors(normal: Column, rules: RuleSet) -> Column:
 
 
 def likely_terms(text: Column, normal: Column, rules: RuleSet) -> Column:
-    """Scoring anchors, then the words that contain a cue; all of them unless the rules set a limit."""
+    """Scoring anchors, then the words that contain a cue; the first ``likely_limit``, or all without a limit."""
     cues = rules.military_cues + rules.policy_cues + rules.slogan_cues
     words = F.transform(F.regexp_extract_all(text, F.lit(rules.likely_pattern), F.lit(0)), t.norm_term)
     cued = F.filter(words, lambda x: (F.length(x) >= 2) & t.contains_any(x, cues))

@@ -55,7 +55,7 @@ class RuleSet:
     publisher_prefixes: tuple[str, ...] = ()
     stray_title_prefix: str | None = None
     likely_pattern: str = "[㐀-鿿A-Za-z0-9]{2,18}"
-    likely_limit: int | None = None
+    likely_limit: int | None = 36
     # None reads the whole text. The newspaper workload reads 3,000 and 4,000 characters.
     likely_text_chars: int | None = None
     anchor_text_chars: int | None = None

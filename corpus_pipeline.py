@@ -4,7 +4,7 @@ Rows with nulls, empty or very long texts, repeated rows and clashing ids go thr
 the columns of ``documents`` (columns that are not among these are dropped first), with these effects:
 
 1. ``language_id``: a document without letters, or with a null text, goes. A missing ``lang`` is filled with the predicted language.
-2. ``near_duplicates``: of each group of texts with five-word shingles of a similarity of about 0.8 or more (SimHash, 256 bits) the document with the smallest id stays (of equal ids the one read first; null ids come last).
+2. ``near_duplicates``: of each group of texts with distinct five-word shingles of a Jaccard similarity of 0.8 or more the document with the smallest id stays (of equal ids the one read first; null ids come last).
 3. ``secret_scan``: secrets in the text are replaced by ``[SECRET]``; ``n_chars`` follows. No document goes.
 4. ``mixing``: a document is used as often as its rate says: dropped, kept or repeated. The targets ask for more of the good domain than there is, so
    its rates are 1 or more.

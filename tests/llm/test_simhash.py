@@ -102,6 +102,51 @@ def test_similar_texts_meet_and_others_do_not(spark):
     assert all(truth[found[k]] == g for k, g in enumerate(truth))
 
 
+def jaccard_components(texts):
+    sets = []
+    for text in texts:
+        ws = text.lower().split()
+        sets.append({" ".join(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))})
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_similar_components_are_those_of_exact_jaccard(spark):
+    rng = np.random.default_rng(21)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for group in range(60):  # similarities from 0.6 to 0.95, many close to 0.8 on both sides
+        text = list(rng.choice(words, int(rng.integers(8, 300))))
+        texts.append(" ".join(text))
+        for share in (0.1, 0.12, 0.2, 0.25):
+            copy, changed = list(text), max(1, round(share * len(text)))
+            at = int(rng.integers(0, len(text) - changed + 1))
+            copy[at : at + changed] = list(rng.choice(words, changed))
+            texts.append(" ".join(copy))
+    texts += ["a b c d e f g h", "a b c d e f g h i", "a b c d e f g h i"]  # four and five shingles: 0.8
+    loop = list(rng.choice(words, 20))
+    texts += [" ".join(loop * 10 + list(rng.choice(words, 12))) for _ in range(2)]  # equal but for a tail, if repeats counted
+    dense = list(rng.choice(words, 200))
+    for _ in range(300):  # more than one tile
+        copy = list(dense)
+        copy[int(rng.integers(0, 200))] = "other"
+        texts.append(" ".join(copy))
+    found = {r["doc_id"]: r["component_id"] for r in s.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[k] for k in range(len(texts))] == jaccard_components(texts)
+
+
 def test_similar_awkward_rows(spark):
     rows = s.similar_components(edge_frame(spark)).collect()
     assert len(rows) == len(TEXTS) and s.similar_components(empty_frame(spark)).count() == 0

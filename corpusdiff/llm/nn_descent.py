@@ -4,11 +4,12 @@ Vectors of one label are compared by cosine in double precision. Equal vectors a
 
 1. A first neighbour list of ``k`` per node comes from hashed sign patterns of random directions: nodes of one leaf, cut into chunks, are compared.
 2. NN-descent: the forward and reverse neighbours of a node are compared with each other in one local join; better neighbours enter the lists. Rounds go on until
-   few links are new.
+   no link is new.
 3. Entries of at least the threshold are links. A node whose whole list is links is saturated: it may have more than ``k``. Its component is compared in full, in tiles
-   dealt over tasks, which counts its links instead of listing them. So a dense group of any size loses nothing and sends no pairs.
-4. Audit: the links of a bounded sample of nodes are counted against all vectors, in blocks, and the recall is taken. Below the target, lists and trees
-   are doubled and the descent is repeated.
+   dealt over tasks, which counts its links instead of listing them. Full lists on both sides may hide the links between two such components, so those of one label
+   are joined before: a component lies within an angle of its smallest node, pairs of components that these bounds do not hold apart are compared in full, and linked ones
+   become one. So a dense group of any size loses nothing and sends no pairs.
+4. Audit: the links of a bounded sample of nodes are counted against all vectors, in blocks. If one is missing, lists and trees are doubled and the descent goes on.
 
 Group sizes: a leaf chunk has ``chunk`` nodes, a local join 2k + 1, a pair of tiles twice the tile size; none grows with the data.
 """
@@ -19,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusdiff.llm.common import stored
@@ -149,7 +150,7 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _descend(nodes: DataFrame, lists: DataFrame, k: int, change: float, threshold: float) -> DataFrame:
-    """Rounds of local joins until at most the share ``change`` of the entries that are links is new in a round.
+    """Rounds of local joins until at most the share ``change`` of the entries that are links is new in a round; 0 for none.
 
     Entries below the threshold go on improving for longer, but no result depends on them.
     """
@@ -180,16 +181,78 @@ def _descend(nodes: DataFrame, lists: DataFrame, k: int, change: float, threshol
     return lists
 
 
-def _tile_links(members: DataFrame, threshold: float) -> DataFrame:
-    """Exact links inside each component: ``(node, links)``, links counting the rows of linked nodes. ``members``: component, node, size, v."""
-    sizes = stored(members.groupBy("component").agg(F.count("*").alias("n")), "component-sizes")
-    tiles = F.greatest(F.least(F.lit(8), F.ceil(F.col("n") / 128)), F.ceil(F.col("n") / 4096)).cast("long")
-    placed = members.join(sizes.select("component", tiles.alias("tiles")), "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
+def _tile_count(rows: Column) -> Column:
+    return F.greatest(F.least(F.lit(8), F.ceil(rows / 128)), F.ceil(rows / 4096)).cast("long")
+
+
+def _tiled(members: DataFrame, key: str, *columns: str) -> DataFrame:
+    """The rows of each ``key`` under each pair of their tile with another: task, own, a, b and ``columns``."""
+    sizes = stored(members.groupBy(key).agg(F.count("*").alias("n")), "tile-sizes")
+    placed = members.join(sizes.select(key, _tile_count(F.col("n")).alias("tiles")), key).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda o: F.struct(F.least(o, "own").alias("a"), F.greatest(o, "own").alias("b")))
-    dealt = placed.withColumn("pair", F.explode(every)).select(
-        F.xxhash64("component", "pair.a", "pair.b").alias("task"), "own", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "node", "size", "v"
+    return placed.withColumn("pair", F.explode(every)).select(
+        F.xxhash64(key, "pair.a", "pair.b").alias("task"), "own", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), *columns
     )
 
+
+def _joined(members: DataFrame, threshold: float) -> DataFrame:
+    """``(node, component)``: which of the components in ``members`` (component, node, group, v) a link joins, and the smallest of those joined."""
+    centers = stored(members.filter(F.col("node") == F.col("component")).select("component", "group", F.col("v").alias("center")), "centers")
+
+    def away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            angles = np.zeros(batch.num_rows)
+            sizes = np.diff(batch["v"].offsets.to_numpy())
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                v, c = (_unit(_matrix(batch[x].take(pa.array(at)))) for x in ("v", "center"))
+                angles[at] = np.arccos(np.clip((v * c).sum(axis=1), -1, 1))
+            yield pa.RecordBatch.from_arrays([batch["component"], pa.array(angles)], ["component", "angle"])
+
+    angles = members.select("component", "v").join(centers.select("component", "center"), "component").mapInArrow(away, "component long, angle double")
+    reach = angles.groupBy("component").agg(F.max("angle").alias("reach"))
+    balls = stored(centers.join(reach, "component").select(F.col("component").alias("node"), "group", F.col("center").alias("v"), "reach"), "balls")
+    widest = float(np.arccos(threshold)) + 1e-6
+
+    def close(t: pa.Table) -> list[np.ndarray]:
+        own, a, b = (t[c].to_numpy() for c in ("own", "a", "b"))
+        ids, reach, unit = t["node"].to_numpy(), t["reach"].to_numpy(), _unit(_matrix(t["v"].combine_chunks()))
+        left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+        found = [(ids[:0], ids[:0])]
+        for k in range(0, len(left), 1024):
+            rows = left[k : k + 1024]
+            near = np.arccos(np.clip(unit[rows] @ unit[right].T, -1, 1)) <= reach[rows][:, None] + reach[right][None, :] + widest
+            if a[0] == b[0]:
+                near &= ids[rows][:, None] < ids[right][None, :]
+            x, y = np.nonzero(near)
+            found.append((ids[rows[x]], ids[right[y]]))
+        return [np.concatenate(c) for c in zip(*found)]
+
+    pairs = stored(_by_group(_tiled(balls, "group", "node", "v", "reach"), "task", close, "x long, y long"), "close")
+    sizes = stored(members.groupBy("component").agg(_tile_count(F.count("*")).alias("tiles")), "tile-sizes")
+    placed = stored(members.join(sizes, "component").select("component", "node", "v", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("own")), "placed")
+    sides = []
+    for side, (mine, theirs) in enumerate((("x", "y"), ("y", "x"))):
+        against = pairs.join(sizes.select(F.col("component").alias(theirs), "tiles"), theirs).join(placed.withColumnRenamed("component", mine), mine)
+        against = against.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+        task = F.xxhash64("x", "y", *(("own", "with") if side == 0 else ("with", "own")))
+        sides.append(against.select(task.alias("task"), "x", "y", F.lit(side).alias("side"), "v"))
+
+    def meet(t: pa.Table) -> list[np.ndarray] | None:
+        side, unit = t["side"].to_numpy(), _unit(_matrix(t["v"].combine_chunks()))
+        left, right = unit[side == 0], unit[side == 1]
+        for k in range(0, len(left), 1024):
+            if (left[k : k + 1024] @ right.T >= threshold).any():
+                return [t["x"].to_numpy()[:1], t["y"].to_numpy()[:1]]
+        return None
+
+    return connected_components(_by_group(sides[0].union(sides[1]), "task", meet, "x long, y long").distinct(), "x", "y")
+
+
+def _tile_links(members: DataFrame, threshold: float) -> DataFrame:
+    """Exact links inside each component: ``(node, links)``, links counting the rows of linked nodes. ``members``: component, node, size, v."""
+    dealt = _tiled(members, "component", "node", "size", "v")
+
     def count(t: pa.Table) -> list[np.ndarray]:
         own, a, b = (t[c].to_numpy() for c in ("own", "a", "b"))
         ids, size, unit = t["node"].to_numpy(), t["size"].to_numpy(), _unit(_matrix(t["v"].combine_chunks()))
@@ -209,7 +272,10 @@ def _tile_links(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def _audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int) -> float:
-    """Found over true links of ``sample`` nodes, those with the smallest hashes, each compared with all nodes of its group in blocks."""
+    """Found over true links of ``sample`` nodes, those with the smallest hashes, each compared with all nodes of its group in blocks.
+
+    Cosines that rounding could take below the threshold do not count as true.
+    """
     asked = nodes.orderBy(F.xxhash64("key")).limit(sample).select("node", "group", "v").collect()  # a bounded query set
     if not asked:
         return 1.0
@@ -227,7 +293,7 @@ def _audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int) ->
                     continue
                 at = np.flatnonzero(groups == group)
                 ids, size = batch["node"].to_numpy()[at], batch["size"].to_numpy()[at]
-                linked = queries[group][1] @ _unit(_matrix(batch["v"].take(pa.array(at)))).T >= threshold
+                linked = queries[group][1] @ _unit(_matrix(batch["v"].take(pa.array(at)))).T >= threshold + 1e-12
                 linked &= queries[group][0][:, None] != ids[None, :]
                 for node, n in zip(queries[group][0].tolist(), (linked @ size).tolist()):
                     total[node] = total.get(node, 0) + n
@@ -240,7 +306,7 @@ def _audit(nodes: DataFrame, links: DataFrame, threshold: float, sample: int) ->
 
 def near_duplicates(
     df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, k: int = 16,
-    trees: int = 8, change: float = 0.01, chunk: int = 64, audit_sample: int = 400, recall: float = 0.98,
+    trees: int = 8, change: float = 0.0, chunk: int = 64, audit_sample: int = 400, recall: float = 1.0,
 ) -> DataFrame:
     """``(id_col, n_links, component_id, kept)`` per row: linked rows, smallest id reachable, and whether that is the row's own id.
 
@@ -248,14 +314,19 @@ def near_duplicates(
     link. Equal rows link with each other. A null id is kept only if it reaches no other. Other columns of ``df`` are not read.
     """
     rows, nodes = _nodes(df, id_col, vector_col, label_col)
+    lists = None
     while True:
-        lists = _descend(nodes, _first_lists(nodes, k, trees, chunk), k, change, threshold)
+        first = _first_lists(nodes, k, trees, chunk)
+        lists = _descend(nodes, first if lists is None else lists.union(first), k, change, threshold)
         links = stored(lists.filter(F.col("cosine") >= threshold).select("node", "other"), "near")
         both = stored(links.union(links.select("other", "node")).distinct(), "near")
         parts = stored(connected_components(both, "node", "other"), "components")
         full = stored(links.groupBy("node").count().filter(F.col("count") >= k).join(parts, "node").select("component").distinct(), "saturated")
-        dense = parts.join(full, "component").join(nodes.select("node", "size", "v"), "node").select("component", "node", "size", "v")
         sparse = both.join(parts.join(full, "component", "left_anti"), "node").select("node", "other")
+        dense = stored(parts.join(full, "component").join(nodes.select("node", "group", "size", "v"), "node").select("component", "node", "group", "size", "v"), "dense")
+        joined = stored(_joined(dense, threshold).select(F.col("node").alias("component"), F.col("component").alias("whole")), "joined")
+        parts = stored(parts.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "components")
+        dense = dense.join(joined, "component", "left").select(F.coalesce("whole", "component").alias("component"), "node", "size", "v")
         sizes = nodes.select(F.col("node").alias("other"), "size")
         listed = sparse.join(sizes, "other").groupBy("node").agg(F.sum("size").alias("links"))
         counted = stored(listed.union(_tile_links(dense, threshold)), "link-counts")

@@ -54,6 +54,19 @@ def test_links_equal_brute_force_with_dense_groups(spark):
     assert got(n.near_duplicates(frame(spark, rows), k=8, trees=6, chunk=32)) == plain(rows)
 
 
+def test_dense_groups_that_only_touch_are_one_component(spark):
+    rng = np.random.default_rng(6)
+    one, other, alone = np.linalg.qr(rng.standard_normal((16, 3)))[0].T
+    rows = []
+    for angle in (0.0, 0.16):  # a cosine of 0.987 between the groups, nearly 1 inside
+        for _ in range(40):
+            v = np.cos(angle) * one + np.sin(angle) * other + 0.002 * rng.standard_normal(16)
+            rows.append((len(rows), v.astype(np.float32).tolist(), 1))
+    rows += [(len(rows) + i, (alone + 0.002 * rng.standard_normal(16)).astype(np.float32).tolist(), 1) for i in range(40)]
+    rows += [(len(rows) + i, rows[i][1], 2) for i in range(40)]
+    assert got(n.near_duplicates(frame(spark, rows), audit_sample=0)) == plain(rows)
+
+
 def test_awkward_vectors(spark):
     rows = [
         (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], None), (4, None, 1), (5, [], 1), (6, [0.0, 0.0], 1), (7, [1.0, None], 1),

@@ -11,6 +11,7 @@ from corpusdiff.llm.langid_hd import identify
 from corpusdiff.llm.mixing import mix
 from corpusdiff.llm.nn_descent import near_duplicates
 from corpusdiff.llm.packing import pack
+from corpusdiff.llm.piece_rounds import decode, encode, ids_text
 from corpusdiff.llm.quality_cascade import quality_rules
 from corpusdiff.llm.secret_formats import KINDS, secret_spans, spans_text
 from corpusdiff.llm.simhash_gray import hex_digits, simhash_components
@@ -102,6 +103,14 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = decode(encode(docs).drop("text"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 LLM_QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
@@ -113,4 +122,5 @@ LLM_QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_sentencepiece": op12_sentencepiece,
 }

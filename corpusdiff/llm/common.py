@@ -38,7 +38,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, its lineage cut, safe if executors are lost."""
     path = scratch_table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.stored_path_ = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote. Only for those that nothing still to be computed reads, also not after a lost executor."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_path_)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(spark: SparkSession, amount: int, each: int, least: int = 1) -> int:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusdiff.llm.centroids import clusters
 from corpusdiff.llm.common import read_table, stored, trained_on
 from corpusdiff.llm.context_mixing import score
 from corpusdiff.llm.langid_hd import identify
@@ -111,6 +112,11 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clusters(read_table(spark, sf_dir, "embeddings"), k=16, rounds=3, size=64, scale=64, seed="1")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 LLM_QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_language_id": op2_language_id,
@@ -123,4 +129,5 @@ LLM_QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }

@@ -26,4 +26,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM base
 """
 
-LLM_ORACLES = {"op9_quality_rules": QUALITY}
+
+
+def _clustering(rounds: int = 3, k: int = 16, size: int = 64) -> str:
+    distance = "list_sum(list_transform(range(1, {size} + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT".format(size=size)
+    steps = [f"""
+kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = {size} AND list_count(embedding) = {size} AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c
+  FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT {k}))"""]
+    for t in range(rounds + 1):
+        steps.append(f"""
+a{t} AS (
+  SELECT r, vec_id, v, min(d) AS d, arg_min(j, d * {k} + j) AS j
+  FROM (SELECT r, vec_id, v, j, {distance} AS d FROM kept, c{t}) GROUP BY ALL)""")
+        if t < rounds:
+            steps.append(f"""
+m{t} AS (
+  SELECT j, list(floor(s / n)::BIGINT ORDER BY i) AS c
+  FROM (SELECT j, i, sum(v[i])::DOUBLE AS s, count(*) AS n FROM a{t}, range(1, {size + 1}) AS g(i) GROUP BY j, i) GROUP BY j),
+c{t + 1} AS (SELECT c{t}.j, coalesce(m{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN m{t} ON c{t}.j = m{t}.j)""")
+    return f"""
+WITH {','.join(steps)}
+SELECT vec_id, a{rounds}.j::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a{rounds}.j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON a{rounds}.j = c{rounds}.j
+"""
+
+
+LLM_ORACLES = {"op9_quality_rules": QUALITY, "op13_centroid_clustering": _clustering()}

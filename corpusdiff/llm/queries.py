@@ -17,6 +17,7 @@ from corpusdiff.llm.quality_cascade import quality_rules
 from corpusdiff.llm.secret_formats import KINDS, secret_spans, spans_text
 from corpusdiff.llm.simhash_gray import hex_digits, simhash_components
 from corpusdiff.llm.token_counts import token_counts
+from corpusdiff.llm.variants import variants
 from corpusdiff.llm.warc import crawl_records, id_of, read_archive, write_archive
 from corpusdiff.session import pin
 
@@ -104,6 +105,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(read_table(spark, sf_dir, "documents"), least_length=5, least_count=3, ratio=2)
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = decode(encode(docs).drop("text"))
@@ -128,6 +133,7 @@ LLM_QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_sentencepiece": op12_sentencepiece,
     "op13_centroid_clustering": op13_centroid_clustering,
 }

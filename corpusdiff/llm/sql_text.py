@@ -57,4 +57,41 @@ FROM a{rounds} JOIN c{rounds} ON a{rounds}.j = c{rounds}.j
 """
 
 
-LLM_ORACLES = {"op9_quality_rules": QUALITY, "op13_centroid_clustering": _clustering()}
+#: The checksum is written out: a table of 256 entries, and a fold over the bytes of id and run.
+VARIANTS = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS g(i))),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (
+  SELECT doc_id, run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+         lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 | (unicode(c)::BIGINT >> 6), 128 | (unicode(c)::BIGINT & 63)] END)) AS b
+  FROM counted),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+vocab AS (SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+shorter AS (SELECT DISTINCT less.word, less.n, v.word AS near, v.n AS near_n FROM less JOIN vocab v ON less.rest = v.word),
+links AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION ALL SELECT word, near, near_n FROM shorter
+  UNION ALL SELECT near, word, n FROM shorter),
+best AS (
+  SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM links),
+formed AS (
+  SELECT vocab.word, vocab.n, coalesce(n_near, 0)::BIGINT AS n_near,
+         CASE WHEN near_n >= 2 * vocab.n THEN near END AS form, CASE WHEN near_n >= 2 * vocab.n THEN near_n END AS form_n
+  FROM vocab LEFT JOIN best ON vocab.word = best.word AND place = 1),
+walk AS (
+  SELECT word, word AS reached FROM formed
+  UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.reached WHERE formed.form IS NOT NULL)
+SELECT f.word, f.form, walk.reached AS root, f.n, f.n_near, f.form_n
+FROM walk JOIN formed e ON e.word = walk.reached AND e.form IS NULL JOIN formed f ON f.word = walk.word
+"""
+
+LLM_ORACLES = {"op9_quality_rules": QUALITY, "op11_spelling_variants": VARIANTS, "op13_centroid_clustering": _clustering()}

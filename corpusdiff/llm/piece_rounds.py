@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import functools
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,8 @@ SPACE, NO_CHARACTER = "▁", "�"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 CODES = 0x110000
 NONE = np.iinfo(np.int32).max
-MEMORY_WORDS, MEMORY_LENGTH = 400_000, 40
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+MEMORY_WORDS, MEMORY_IDS, MEMORY_LENGTH = 400_000, 4_000_000, 1000
 
 
 class Pieces:
@@ -53,6 +55,7 @@ class Pieces:
         self.bytes = np.array([i for i, p in enumerate(model.pieces) if p.type == BYTE], np.int32)  # of 0 to 255
         self.byte_of = {int(i): k for k, i in enumerate(self.bytes)}
         self.surface = [self._surface(p, trainer.unk_surface) for p in model.pieces]
+        self.ordinary = np.array([p.type == NORMAL for p in model.pieces])
         self.starts_with_space = np.array([p.type == NORMAL and p.piece.startswith(SPACE) for p in model.pieces])
 
         known = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
@@ -82,21 +85,63 @@ class Pieces:
                     keys.append(left * (self.count + CODES) + right)
                     merged.append(i)
         order = np.argsort(np.array(keys, np.int64))
-        self.keys, self.merged = np.array(keys, np.int64)[order], np.array(merged, np.int32)[order]
+        self.merged = np.append(np.array(merged, np.int32)[order], np.int32(self.count))
+        self._place(np.array(keys, np.int64)[order])
         self.inner = np.sort(np.array([ord(a) * CODES + ord(b) for a, b in inner], np.int64))
         apart = not any(a != SPACE and b == SPACE for a, b in inner)
-        self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if apart else r"(?s).+").findall
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.lead = SPACE if apart and self.prefix else ""
+        self.spaced_words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if apart else r"(?s).+").findall
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memory: the number of each known word, and for each number where its ids lie in the pool."""
+        self.memory: dict[str, int] = {}
+        self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     @staticmethod
     def _surface(piece, unknown: str) -> str:
         return {NORMAL: piece.piece.replace(SPACE, " "), UNKNOWN: unknown}.get(piece.type, "")
 
+    def words(self, text: str) -> list[str]:
+        """The words of a text, without ``lead``, which then starts all of them."""
+        if self.lead and "  " not in text and text[0] != " " and SPACE not in text:
+            return text.split(" ")
+        words = self.spaced_words((SPACE if self.prefix else "") + text.replace(" ", SPACE))
+        return [w[1:] for w in words] if self.lead else words
+
+    def _place(self, keys: np.ndarray) -> None:
+        """A table of twice as many places as keys or more: a key stands at its hashed place or, where that is taken, at the next free one."""
+        bits = max(len(keys), 1).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.slot, self.key = np.full(1 << bits, len(keys), np.int64), np.full(1 << bits, -1, np.int64)
+        rest, at = np.arange(len(keys)), self._hashed(keys)
+        while len(rest):
+            free = self.key[at] < 0
+            taken, first = np.unique(at[free], return_index=True)
+            mine = np.flatnonzero(free)[first]
+            self.key[taken], self.slot[taken] = keys[rest[mine]], rest[mine]
+            left = np.ones(len(rest), bool)
+            left[mine] = False
+            rest, at = rest[left], (at[left] + 1) % len(self.key)
+
+    def _hashed(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * MULTIPLIER) >> self.shift).astype(np.int64)
+
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each pair of symbols makes; ``count`` for none."""
         key = left * (self.count + CODES) + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.merged[at], self.count)
+        at = self._hashed(key)
+        found = self.key[at]
+        out = np.where(found == key, self.merged[self.slot[at]], np.int32(self.count))
+        rest = np.flatnonzero((found != key) & (found >= 0))
+        while len(rest):
+            place = (at[rest] + 1) % len(self.key)
+            at[rest] = place
+            found = self.key[place]
+            hit = found == key[rest]
+            out[rest[hit]] = self.merged[self.slot[place[hit]]]
+            rest = rest[~hit & (found >= 0)]
+        return out
 
 
 def merge_rounds(model: Pieces, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -138,8 +183,8 @@ def merge_rounds(model: Pieces, symbols: np.ndarray, first: np.ndarray) -> np.nd
     return out
 
 
-def encode_words(model: Pieces, words: list[str]) -> list[tuple[int, ...]]:
-    """The ids of each word."""
+def encode_words(model: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words one after the other, and how many each word has."""
     codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     key = codes[:-1] * CODES + codes[1:]
@@ -157,57 +202,62 @@ def encode_words(model: Pieces, words: list[str]) -> list[tuple[int, ...]]:
         flat = np.repeat(symbols, width)
         flat[flat >= model.count] = np.concatenate([parts[c] for c in symbols[strange].tolist()])
         symbols, final = flat, np.repeat(final, width)
-    ends = [0, *np.searchsorted(final, np.cumsum(sizes)).tolist()]
-    ids = tuple(symbols.tolist())
-    return [ids[a:b] for a, b in zip(ends, ends[1:])]
+    ends = np.searchsorted(final, np.cumsum(sizes))
+    return symbols.astype(np.int32), np.diff(ends, prepend=0)
+
+
+def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of the pool one after the other."""
+    ends = np.cumsum(size)
+    return pool[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def encode_texts(model: Pieces, texts: list[str | None]) -> list[list[int]]:
-    """The ids of every text, without begin or end ids."""
-    split = [model.words((SPACE if model.prefix else "") + text.replace(" ", SPACE)) if text else [] for text in texts]
+def encode_texts(model: Pieces, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after the other, without begin or end ids, and how many each text has."""
     if len(model.memory) > MEMORY_WORDS:
-        model.memory.clear()
-    known, long = model.memory, []
-    block, size = [], 0
-    new = {w for words in split for w in words if w not in known}
-    while new:  # blocks of about a million symbols bound the arrays
-        block.append(word := new.pop())
+        model.forget()
+    split = [model.words(text) if text else [] for text in texts]
+    known, block, size = model.memory, [], 0
+    words = list(chain.from_iterable(split))
+    number = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+    missing = np.flatnonzero(number < 0).tolist()
+    new = list(dict.fromkeys(words[i] for i in missing))
+    starts, sizes, pools, taken = [model.start], [model.size], [model.pool], len(model.pool)
+    for i, word in enumerate(new):  # blocks of about a million symbols bound the arrays
+        known[word] = len(known)
+        block.append(model.lead + word)
         size += len(word)
-        if len(word) > MEMORY_LENGTH:
-            long.append(word)
-        if size > 1 << 20 or not new:
-            known.update(zip(block, encode_words(model, block)))
+        if size > 1 << 20 or i == len(new) - 1:
+            ids, count = encode_words(model, block)
+            starts.append(taken + np.cumsum(count) - count)
+            sizes.append(count)
+            pools.append(ids)
+            taken += len(ids)
             block, size = [], 0
-    found = [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
-    for word in long:
-        del known[word]
-    return found
+    if new:
+        model.start, model.size, model.pool = map(np.concatenate, (starts, sizes, pools))
+        number[missing] = [known[words[i]] for i in missing]
+    per_text = np.fromiter(map(len, split), np.int64, len(split))
+    ids = gather(model.pool, model.start[number], model.size[number])
+    ends = np.append(0, np.cumsum(model.size[number]))[np.cumsum(per_text)]
+    if taken > MEMORY_IDS or any(len(w) > MEMORY_LENGTH for w in new):
+        model.forget()
+    return ids, np.diff(ends, prepend=0)
 
 
 def decode_ids(model: Pieces, ids: list[int]) -> str:
     """The text of ids: spaces for their sign, without the added first one; runs of byte pieces as characters."""
-    if not ids:
-        return ""
-    surface = model.surface
-    out = []
-    if not model.byte_of.keys().isdisjoint(ids):
-        run = bytearray()
-        for i in ids:
-            if i in model.byte_of:
-                run.append(model.byte_of[i])
-                continue
-            if run:
-                out.append(_characters(bytes(run)))
-                run.clear()
-            out.append(surface[i])
+    out, run = [], bytearray()
+    for i in ids:
+        if i in model.byte_of:
+            run.append(model.byte_of[i])
+            continue
         out.append(_characters(bytes(run)))
-    else:
-        out = [surface[i] for i in ids]
-    if model.prefix:
-        head = next((k for k, i in enumerate(ids) if i in model.byte_of or surface[i]), len(ids))
-        if head < len(ids) and model.starts_with_space[ids[head]]:
-            return "".join(out)[1:]
-    return "".join(out)
+        run.clear()
+        out.append(model.surface[i])
+    out.append(_characters(bytes(run)))
+    head = next((i for i in ids if i in model.byte_of or model.surface[i]), None)
+    return "".join(out)[1 if model.prefix and head is not None and model.starts_with_space[head] else 0 :]
 
 
 def _characters(run: bytes) -> str:
@@ -218,6 +268,21 @@ def _characters(run: bytes) -> str:
         return run[: e.start].decode() + NO_CHARACTER + _characters(run[e.start + 1 :])
 
 
+def decode_lists(model: Pieces, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """The texts of lists of ids that lie one after the other. Lists of ordinary pieces are joined, those with other ids decoded one by one."""
+    odd = np.flatnonzero(~model.ordinary[ids])
+    ends = np.cumsum(sizes)
+    odd = np.searchsorted(odd, ends) > np.searchsorted(odd, ends - sizes)
+    flat, surface, out = ids.tolist(), model.surface, []
+    for end, size, slow in zip(ends.tolist(), sizes.tolist(), odd.tolist()):
+        own = flat[end - size : end]
+        if slow:
+            out.append(decode_ids(model, own))
+        else:
+            out.append("".join(map(surface.__getitem__, own))[1 if own and model.prefix and model.starts_with_space[own[0]] else 0 :])
+    return out
+
+
 @functools.lru_cache(maxsize=4)
 def pieces(path: str) -> Pieces:
     """One model per path and Python worker."""
@@ -232,10 +297,8 @@ def encode(df: DataFrame, text_col: str = "text", out: str = "ids", path: str =
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        found = encode_texts(pieces(path), texts.to_pylist())
-        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        found, sizes = encode_texts(pieces(path), texts.to_pylist())
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(found))
 
     return pin(df.withColumn(out, ids(F.col(text_col))))
 
@@ -248,8 +311,12 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
 
     @F.arrow_udf("string")
     def text(lists: pa.Array) -> pa.Array:
-        model = pieces(path)
-        return pa.array([decode_ids(model, [i for i in ids or () if i is not None]) for ids in lists.to_pylist()], pa.string())
+        flat = lists.flatten()
+        if flat.null_count:
+            lists = pa.array([[i for i in ids or () if i is not None] for ids in lists.to_pylist()], pa.list_(pa.int32()))
+            flat = lists.flatten()
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        return pa.array(decode_lists(pieces(path), flat.to_numpy(), sizes), pa.string())
 
     return pin(df.withColumn(out, text(F.col(ids_col))))
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -15,10 +16,13 @@ STRANGE = ["", " ", "   ", "a", " a", "a ", "▁", "▁▁x ▁", "\x00", "\n\n\
 
 
 def check(texts):
-    for text, ids in zip(texts, p.encode_texts(MODEL, texts)):
+    flat, sizes = p.encode_texts(MODEL, texts)
+    ends = np.cumsum(sizes)
+    decoded = p.decode_lists(MODEL, flat, sizes)
+    for text, end, size, back in zip(texts, ends, sizes, decoded):
         expected = LIBRARY.encode(text or "")
-        assert ids == expected, text
-        assert p.decode_ids(MODEL, ids) == LIBRARY.decode(expected), text
+        assert flat[end - size : end].tolist() == expected, text
+        assert back == p.decode_ids(MODEL, expected) == LIBRARY.decode(expected), text
 
 
 def test_strange_texts_equal_the_library():
@@ -42,6 +46,7 @@ def test_any_ids_decode_as_in_the_library():
     for _ in range(2000):
         ids = [rng.choice([rng.randint(0, MODEL.count - 1), rng.randint(0, 300)]) for _ in range(rng.randint(0, 12))]
         assert p.decode_ids(MODEL, ids) == LIBRARY.decode(ids), ids
+        assert p.decode_lists(MODEL, np.array(ids * 2, np.int64), np.array([len(ids)] * 2)) == [LIBRARY.decode(ids)] * 2
 
 
 def test_pieces_that_may_be_followed_by_a_better_one_are_merged_one_at_a_time():
@@ -52,7 +57,7 @@ def test_pieces_that_may_be_followed_by_a_better_one_are_merged_one_at_a_time():
 
 def test_the_memory_of_words_stays_bounded(monkeypatch):
     monkeypatch.setattr(p, "MEMORY_WORDS", 10)
-    MODEL.memory.clear()
+    MODEL.forget()
     texts = [" ".join(f"word{i}x{j}" for j in range(20)) for i in range(30)]
     for k in range(0, 30, 3):
         check(texts[k : k + 3])

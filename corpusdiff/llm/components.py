@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusdiff.llm.common import stored
+from corpusdiff.llm.common import discard, stored
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -33,6 +33,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = stored(large.distinct(), "links")
         down = stored(large.groupBy("hi").agg(F.min("lo").alias("m")), "links")
         small = large.join(down, "hi").filter(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = stored(small.union(down.select("hi", F.col("m").alias("lo"))).distinct(), "links")
+        edges, last = stored(small.union(down.select("hi", F.col("m").alias("lo"))).distinct(), "links"), edges
+        discard(last, least, large, down)
     roots = edges.select(F.col("lo").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)

@@ -6,14 +6,14 @@
    the least-squares sense. Starting from rates of 1, each round takes the residual per domain, scales it by the curvature of the documents that are not at
    zero, steps, and projects negative rates to zero; a step that does not lower the error is halved.
 
-Posteriors are written once. A round is one pass over that narrow table with a few sums per task; only vectors of the number of domains go
-through the driver, and a document's rate is recomputed from the list of steps, so nothing is shuffled and hot sources do not matter.
+Token counts and posteriors are written without texts for the rounds, and computed once more where rates are asked for, so texts are neither copied nor shuffled. A round is one
+pass over the narrow table with a few sums per task; only vectors of the number of domains go through the driver, and a document's rate follows from the list of steps.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusdiff.llm.common import stored
+from corpusdiff.llm.common import discard, stored
 
 BUCKETS, SHAPES = 1 << 18, 8
-LEAST_TEXTS = 30  # sample texts that must have a hashed word before it gets a weight
+LEAST_SHARE = 0.005  # of the sample texts must have a hashed word before it gets a weight
 RIDGE = 3.0
 SYMBOLS = b"#*$%&|<>"
 MAX_DOMAINS = 100
@@ -71,7 +71,7 @@ def fit_classifier(labelled: DataFrame, text_col: str, domain_col: str, examples
     index, value = (np.concatenate([np.asarray(x.values) for x in sample[c]]) for c in ("i", "v"))
     truth = np.searchsorted(np.array(names), np.array(sample["domain"].to_pylist()))
     target = np.eye(len(names))[truth]
-    common = np.bincount(index, minlength=BUCKETS + SHAPES) >= LEAST_TEXTS
+    common = np.bincount(index, minlength=BUCKETS + SHAPES) >= max(2, LEAST_SHARE * len(lengths))
     common[BUCKETS:] = True
     owner, index, value = owner[common[index]], index[common[index]], value[common[index]]
     distinct, at = np.unique(index, return_inverse=True)
@@ -121,17 +121,19 @@ def _unpack(batch: pa.RecordBatch, domains: int) -> tuple[np.ndarray, np.ndarray
     return batch["posterior"].flatten().to_numpy().reshape(-1, domains), batch["n_tokens"].to_numpy(zero_copy_only=False).astype(np.float64)
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], names: list[str], total: float | None = None, rounds: int = 40, tolerance: float = 1e-6) -> list[np.ndarray]:
+Targets = dict[str, float] | Callable[[dict[str, float]], dict[str, float]]
+
+
+def fit_rates(members: DataFrame, targets: Targets, names: list[str], total: float | None = None, rounds: int = 40, tolerance: float = 1e-6) -> list[np.ndarray]:
     """The steps from which every document's rate follows. ``members`` has ``n_tokens`` and ``posterior``; ``targets`` are weights by domain.
 
-    A domain without target has weight 0; weights are scaled to sum to 1. ``total`` is the number of tokens wanted, by default those of the documents.
+    A domain without target has weight 0; weights are scaled to sum to 1. ``total`` is the number of tokens wanted, by default those of the documents. ``targets`` may be a function: it gets
+    the expected tokens of each domain at rates of 1 and gives the tokens wanted, which are then neither scaled nor held against ``total``.
     Targets that no rates can meet are met as closely as the rounds allow.
     """
     d = len(names)
-    wanted = np.array([targets.get(n, 0.0) for n in names])
-    if not d or wanted.sum() <= 0:
+    if not d or (not callable(targets) and sum(targets.get(n, 0.0) for n in names) <= 0):
         return []
-    wanted = wanted / wanted.sum()
 
     def passed(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
         """Expected tokens by domain at these rates, curvature of the documents above zero, and all tokens."""
@@ -152,7 +154,10 @@ def fit_rates(members: DataFrame, targets: dict[str, float], names: list[str], t
 
     steps: list[np.ndarray] = []
     have, curve, tokens = passed(steps)
-    goal = wanted * (total if total is not None else tokens)
+    chosen = targets(dict(zip(names, have.tolist()))) if callable(targets) else targets
+    goal = np.array([chosen.get(n, 0.0) for n in names])
+    if not callable(targets):
+        goal *= (total if total is not None else tokens) / goal.sum()
     error, scale = np.linalg.norm(have - goal), max(np.linalg.norm(goal), 1e-9)
     for _ in range(rounds):
         if error <= tolerance * scale:
@@ -183,18 +188,21 @@ def rates_column(posterior: Column, steps: list[np.ndarray]) -> Column:
 
 
 def mix(
-    df: DataFrame, labelled: DataFrame, targets: dict[str, float], text_col: str = "text", domain_col: str = "domain", total: float | None = None, examples: int = 6000
+    df: DataFrame, labelled: DataFrame, targets: Targets, text_col: str = "text", domain_col: str = "domain", total: float | None = None, examples: int = 6000
 ) -> DataFrame:
-    """``df`` with ``n_tokens``, ``posterior`` and ``rate``; ``labelled`` has texts and their domains.
+    """``df`` with ``n_tokens``, ``posterior``, ``rate`` and ``likely_domain``; ``labelled`` has texts and their domains.
 
     Columns of these names are replaced, all others stay. A null or empty text has no tokens and the posterior of the character shares alone. Equal texts
-    get equal rates. Without any labelled row the posterior is empty and all rates are 1. An empty table gives no rows.
+    get equal rates. Without any labelled row the posterior is empty, the likely domain null, and all rates are 1. An empty table gives no rows.
     """
     names, weights = fit_classifier(labelled, text_col, domain_col, examples)
-    rest = [c for c in df.columns if c not in ("n_tokens", "posterior", "rate")]
+    rest = [c for c in df.columns if c not in ("n_tokens", "posterior", "rate", "likely_domain")]
     placed = domain_posteriors(df.select(*rest), names, weights, text_col)
-    members = stored(placed, "posteriors")
-    return members.withColumn("rate", rates_column(F.col("posterior"), fit_rates(members, targets, names, total)))
+    members = stored(placed.select("n_tokens", "posterior"), "posteriors")
+    steps = fit_rates(members, targets, names, total)
+    discard(members)
+    likely = F.get(F.array(*map(F.lit, names)), F.array_position("posterior", F.array_max("posterior")) - 1) if names else F.lit(None).cast("string")
+    return placed.withColumn("rate", rates_column(F.col("posterior"), steps)).withColumn("likely_domain", likely)
 
 
 def copies(rate: Column, *keys: str) -> Column:

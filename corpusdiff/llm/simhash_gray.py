@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusdiff.llm.common import slices, stored
+from corpusdiff.llm.common import discard, slices, stored
 from corpusdiff.llm.components import connected_components
 from corpusdiff.llm.nn_descent import _by_group
 
@@ -219,6 +219,7 @@ def _named(prints: DataFrame, entries: DataFrame, parts: DataFrame, key: str) ->
     roots = stored(linked.groupBy("component").agg(F.min("first").alias("root")), "roots")
     placed = linked.join(roots, "component").select("node", "root")
     named = stored(entries.join(placed, "node", "left").select(key, F.coalesce("root", "first").alias("component_id")), "named")
+    discard(linked, roots)
     return prints.join(named, key)
 
 
@@ -289,7 +290,7 @@ def _verified_links(members: DataFrame, texts: DataFrame, width: int, similarity
     dealt over tasks; in each the common shingles of all pairs are counted, and the links of a spanning forest are sent.
     """
     sizes = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
-    tiles = F.greatest(F.least(F.lit(8), F.ceil(F.col("m") / 128)), F.ceil(F.col("m") / 1024), F.ceil(F.col("all") / 1_000_000)).cast("long")
+    tiles = F.greatest(F.ceil(F.col("m") / 1024), F.ceil(F.col("all") / 1_000_000)).cast("long")
     sizes = stored(sizes.select("component", tiles.alias("tiles")), "component-sizes")
     placed = stored(members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles"))), "placed")
 
@@ -364,6 +365,7 @@ def similar_components(
     members = stored(near.join(entries.select("node", "key", "n"), "node"), "candidates")
     links = _verified_links(members, texts.select("key", "text"), width, similarity)
     found = _named(prints.select("id", "same"), entries, connected_components(links), "same")
+    discard(members, entries)
     return found.select(F.col("id").alias(id_col), "component_id")
 
 

@@ -39,6 +39,18 @@ class _Group:
             self.specific or other.specific,
         )
 
+    def take(self, other: _Group) -> None:
+        """``joined`` in place; the ranks of ``other`` come after those that are here."""
+        self.ranks += other.ranks
+        self.left |= other.left
+        self.right |= other.right
+        self.exact_titles |= other.exact_titles
+        self.terms |= other.terms
+        self.specific |= other.specific
+
+    def articles(self) -> frozenset:
+        return frozenset([("l", x) for x in self.left] + [("r", x) for x in self.right])
+
     def shares_article(self, other: _Group) -> bool:
         return not self.left.keys().isdisjoint(other.left) or not self.right.keys().isdisjoint(other.right)
 
@@ -52,6 +64,12 @@ def _fits(left: set, right: set, n_pairs: int, bounds: Bounds) -> bool:
     )
 
 
+def _room(group: _Group, bounds: Bounds) -> tuple[bool, bool]:
+    """Whether the group may take a further article, left and right."""
+    some = len(group.left) + len(group.right) < bounds.total and len(group.ranks) < bounds.pairs
+    return some and len(group.left) < bounds.per_side, some and len(group.right) < bounds.per_side
+
+
 def _can_join(a: _Group, b: _Group, bounds: Bounds) -> bool:
     if len(a.ranks) + len(b.ranks) > bounds.pairs:
         return False
@@ -77,57 +95,144 @@ def _same_story(a: _Group, b: _Group, plain_titles: set[str]) -> bool:
     return bool(a.terms & b.terms) or (exact and (a.specific or b.specific))
 
 
-def _connected(groups: list[_Group]) -> list[_Group]:
-    """Union of groups that share articles."""
-    parts: list[_Group] = []
-    for group in groups:
-        touching = [p for p in parts if p.shares_article(group)]
-        parts = [p for p in parts if not any(p is q for q in touching)]
-        for p in touching:
-            group = group.joined(p)
-        parts.append(group)
-    return parts
+def _connected(groups: list[_Group]) -> list[list[int]]:
+    """Ranks of the pairs that hang together by articles, each list in order."""
+    parent: dict[tuple[str, str], tuple[str, str]] = {}
+
+    def root(x: tuple[str, str]) -> tuple[str, str]:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    ends = [(("l", *pair.left), ("r", *pair.right)) for pair in groups]
+    for left, right in ends:
+        parent[root(left)] = root(right)
+    found: dict[tuple[str, str], list[int]] = {}
+    for pair, (left, _) in zip(groups, ends):
+        found.setdefault(root(left), []).append(pair.ranks[0])
+    return [sorted(ranks) for ranks in found.values()]
+
 
+def _split(ranks: list[int], single: dict[int, _Group], bounds: Bounds) -> list[_Group]:
+    """Pairs that hang together, as groups within the bounds: each pair, best first, joins the first group that it touches and fits.
 
-def _split(group: _Group, single: dict[int, _Group], bounds: Bounds) -> list[_Group]:
-    """A group above the bounds becomes several: each pair, best first, joins the first one it touches and fits."""
-    if _fits(set(group.left), set(group.right), len(group.ranks), bounds):
-        return [group]
+    A group is looked up by its articles. One that can take no further article of a side is left out of the lists of the other side's articles; it is then found only
+    by pairs of which it holds both articles. So the work of a pair does not grow with the number of groups its articles are in.
+    """
+    left, right = {x for k in ranks for x in single[k].left}, {x for k in ranks for x in single[k].right}
+    if _fits(left, right, len(ranks), bounds):
+        whole = _Group([])
+        for rank in ranks:
+            whole.take(single[rank])
+        return [whole]
     parts: list[_Group] = []
-    for rank in group.ranks:
+    roomy: dict[tuple[str, str], list[int]] = {}  # by article: numbers of groups that may take an article of the other side
+    holding: dict[tuple[str, str], list[int]] = {}  # by both articles of a pair
+
+    for rank in ranks:
         pair = single[rank]
-        for i, part in enumerate(parts):
-            if part.shares_article(pair) and _can_join(part, pair, bounds):
-                parts[i] = part.joined(pair)
-                break
-        else:
-            parts.append(pair)
+        (l,), (r,) = pair.left, pair.right
+        roomy["l", l] = [i for i in roomy.get(("l", l), ()) if _room(parts[i], bounds)[1]]
+        roomy["r", r] = [i for i in roomy.get(("r", r), ()) if _room(parts[i], bounds)[0]]
+        near = sorted({*roomy["l", l], *roomy["r", r], *holding.get((l, r), ())})
+        at = next((i for i in near if _can_join(parts[i], pair, bounds)), None)
+        if at is None:
+            at = len(parts)
+            parts.append(_Group([]))
+        part = parts[at]
+        new_left, new_right = l not in part.left, r not in part.right
+        part.take(pair)
+        if new_left:
+            roomy["l", l].append(at)
+            for x in part.right:
+                holding.setdefault((l, x), []).append(at)
+        if new_right:
+            roomy["r", r].append(at)
+            for x in part.left:
+                if not (new_left and x == l):
+                    holding.setdefault((x, r), []).append(at)
     return parts
 
 
+class _Merging:
+    """Groups in rank order, found by what two mergeable ones must have in common.
+
+    They share an article or an exact title. Two that share no article have room on both sides; two of which neither has room have the same articles. So a group
+    without room meets only groups with room and those of its own articles, however many groups its articles are in.
+    """
+
+    def __init__(self, groups: list[_Group], bounds: Bounds):
+        self.bounds = bounds
+        self.groups: dict[int, _Group] = {}
+        self.of_article: dict[tuple[str, str], set[int]] = {}
+        self.roomy_of_article: dict[tuple[str, str], set[int]] = {}
+        self.roomy_of_title: dict[str, set[int]] = {}
+        self.of_articles: dict[frozenset, set[int]] = {}
+        for i, group in enumerate(groups):
+            self.put(i, group)
+
+    def _places(self, group: _Group):
+        articles = group.articles()
+        for x in articles:
+            yield self.of_article, x
+        yield self.of_articles, articles
+        left, right = _room(group, self.bounds)
+        if left or right:
+            for x in articles:
+                yield self.roomy_of_article, x
+        if left and right:
+            for title in group.exact_titles:
+                yield self.roomy_of_title, title
+
+    def put(self, i: int, group: _Group) -> None:
+        self.groups[i] = group
+        for index, key in self._places(group):
+            index.setdefault(key, set()).add(i)
+
+    def drop(self, i: int) -> _Group:
+        group = self.groups.pop(i)
+        for index, key in self._places(group):
+            index[key].discard(i)
+        return group
+
+    def near(self, i: int) -> set[int]:
+        group = self.groups[i]
+        articles = group.articles()
+        left, right = _room(group, self.bounds)
+        found = set(self.of_articles[articles])
+        for x in articles:
+            found |= (self.of_article if left or right else self.roomy_of_article).get(x, set())
+        if left and right:
+            for title in group.exact_titles:
+                found |= self.roomy_of_title[title]
+        return found - {i}
+
+    def merge(self, i: int, j: int) -> None:
+        other, group = self.drop(j), self.drop(i)
+        self.put(i, group.joined(other))
+
+
 def _merge(groups: list[_Group], bounds: Bounds, plain_titles: set[str]) -> list[_Group]:
     """Join the first mergeable two groups in rank order, again and again, until none is left.
 
-    A row of the order that has been refused throughout needs another look only at a group that has changed since.
+    What has been refused needs another look only at a group that has changed since.
     """
-    groups = sorted(groups, key=lambda g: g.ranks[0])
+    held = _Merging(sorted(groups, key=lambda g: g.ranks[0]), bounds)
 
-    def mergeable(a: _Group, b: _Group) -> bool:
-        return _can_join(a, b, bounds) and _same_story(a, b, plain_titles)
+    def first(i: int, others: list[int]) -> int | None:
+        a = held.groups[i]
+        return next((j for j in others if _can_join(a, held.groups[j], bounds) and _same_story(a, held.groups[j], plain_titles)), None)
 
-    i = 0
-    while i < len(groups):
-        j = next((j for j in range(i + 1, len(groups)) if mergeable(groups[i], groups[j])), None)
-        if j is None:
+    i, last = 0, len(held.groups)
+    while i < last:
+        if i not in held.groups or (j := first(i, sorted(x for x in held.near(i) if x > i))) is None:
             i += 1
             continue
-        groups[i] = groups[i].joined(groups[j])
-        del groups[j]
-        while (k := next((k for k in range(i) if mergeable(groups[k], groups[i])), None)) is not None:
-            groups[k] = groups[k].joined(groups[i])
-            del groups[i]
+        held.merge(i, j)
+        while (k := first(i, sorted(x for x in held.near(i) if x < i))) is not None:
+            held.merge(k, i)
             i = k
-    return groups
+    return [held.groups[i] for i in sorted(held.groups)]
 
 
 def group_day(pairs: pd.DataFrame, bounds: Bounds, plain_titles: set[str]) -> pd.DataFrame:
@@ -148,7 +253,7 @@ def group_day(pairs: pd.DataFrame, bounds: Bounds, plain_titles: set[str]) -> pd
             bool(exact or row.concrete),
         )
         seeds.setdefault(row.cluster_key or row.pair_id, []).append(single[row.Index])
-    parts = [part for seed in seeds.values() for group in _connected(seed) for part in _split(group, single, bounds)]
+    parts = [part for seed in seeds.values() for ranks in _connected(seed) for part in _split(ranks, single, bounds)]
     merged = _merge(parts, bounds, plain_titles)
 
     def selection(group: _Group):

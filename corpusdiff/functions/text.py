@@ -217,22 +217,6 @@ def shingles(c: Column | str, n: int) -> Column:
     )
 
 
-def longest_common_substring(left: Column | str, right: Column | str) -> Column:
-    """Longest text found in both; the leftmost one of the left text on ties.
-
-    One pass over the left text: at each end position only a text one longer than the best so far can improve on it,
-    because any longer one would have shown its beginning one position earlier.
-    """
-    a, b = _col(left), _col(right)
-
-    def step(best: Column, end: Column) -> Column:
-        longer = F.substring(a, end - F.length(best), F.length(best) + 1)
-        return F.when(F.contains(b, longer), longer).otherwise(best)
-
-    scan = F.aggregate(F.sequence(F.lit(1), F.length(a)), F.lit(""), step)
-    return F.when(a == b, a).when((a == "") | (b == ""), F.lit("")).otherwise(scan)
-
-
 # --- pandas UDFs ---------------------------------------------------------------------------------------------
 
 
@@ -263,6 +247,89 @@ def shingle_codes(c: Column | str, n: int) -> Column:
     return codes(_col(c))
 
 
+class SuffixAutomaton:
+    """All parts of a text: a state stands for parts that end at the same places. Built and read in time by the length of the texts."""
+
+    def __init__(self, text: str):
+        self.moves: list[dict[str, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        last = 0
+        for ch in text:
+            state = self._state(self.length[last] + 1, {}, 0)
+            while last >= 0 and ch not in self.moves[last]:
+                self.moves[last][ch] = state
+                last = self.link[last]
+            if last >= 0:
+                self.link[state] = self._ending(last, ch)
+            last = state
+
+    def _state(self, length: int, moves: dict[str, int], link: int) -> int:
+        self.moves.append(moves)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.link) - 1
+
+    def _ending(self, before: int, ch: str) -> int:
+        """The state of the part one longer than the longest of ``before``; split off where its state also holds longer parts."""
+        found = self.moves[before][ch]
+        if self.length[found] == self.length[before] + 1:
+            return found
+        own = self._state(self.length[before] + 1, self.moves[found].copy(), self.link[found])
+        self.link[found] = own
+        while before >= 0 and self.moves[before].get(ch) == found:
+            self.moves[before][ch] = own
+            before = self.link[before]
+        return own
+
+    def longest_part(self, text: str) -> str:
+        """The longest part of ``text`` that is also one here; of several the leftmost in ``text``."""
+        state = size = best = end = 0
+        moves, link, length = self.moves, self.link, self.length
+        for i, ch in enumerate(text, 1):
+            while state and ch not in moves[state]:
+                state = link[state]
+                size = length[state]
+            if ch in moves[state]:
+                state = moves[state][ch]
+                size += 1
+                if size > best:
+                    best, end = size, i
+        return text[end - best : end]
+
+
+#: Characters of the texts whose automata a task keeps for the pairs to come.
+AUTOMATA_CHARS = 200_000
+
+
+def longest_common_substring(left: Column | str, right: Column | str) -> Column:
+    """Longest text found in both; the leftmost one of the left text on ties.
+
+    Equal texts do not go to Python. For others the right text becomes a suffix automaton, kept while it is asked for again, and the left one is read through it once: time by the sum of both lengths.
+    """
+    a, b = _col(left), _col(right)
+
+    @F.pandas_udf(T.StringType())
+    def common(lefts: pd.Series, rights: pd.Series) -> pd.Series:
+        kept: dict[str, SuffixAutomaton] = {}
+        chars, found = 0, []
+        for x, y in zip(lefts, rights):
+            if x is None or y is None:
+                found.append(None)
+                continue
+            if y not in kept:
+                if chars > AUTOMATA_CHARS:
+                    kept.clear()
+                    chars = 0
+                kept[y] = SuffixAutomaton(y)
+                chars += len(y)
+            found.append(kept[y].longest_part(x))
+        return pd.Series(found, dtype=object)
+
+    differ = (a != b) & (a != "") & (b != "")
+    part = common(F.when(differ, a), F.when(differ, b))
+    return F.when(a == b, a).when((a == "") | (b == ""), F.lit("")).otherwise(part)
+
+
 # Digits of Chinese numerals.
 NUMERAL_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 ORDINAL_PATTERN = "第([一二两三四五六七八九十零〇]{1,4})(?=个|届|次|批|轮|期)"

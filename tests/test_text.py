@@ -1,3 +1,6 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from corpusdiff.functions import labels as lb
@@ -135,3 +138,31 @@ def test_long_numbers_are_not_cut(spark):
     assert one(spark, t.parse_int(lit(" 12345678901"))) is None
     assert one(spark, t.parse_int(lit("1234567890x"))) == 1234567890
     assert one(spark, t.parse_int(lit("-12 3"))) == -12
+
+
+def plain_common(a, b):
+    for size in range(min(len(a), len(b)), 0, -1):
+        for at in range(len(a) - size + 1):
+            if a[at : at + size] in b:
+                return a[at : at + size]
+    return ""
+
+
+def test_longest_common_part_equals_trying_all_parts(spark):
+    rng = random.Random(4)
+    texts = ["", "a", "aaaa", "aaaaaaab", "abcabcabc", "漢字と漢字", "😀x😀"] + ["".join(rng.choice("ab漢") for _ in range(rng.randint(0, 25))) for _ in range(60)]
+    for a in texts:
+        for b in texts[::3]:
+            assert t.SuffixAutomaton(b).longest_part(a) == plain_common(a, b)
+    rows = [(rng.choice([*texts, None]), rng.choice([*texts, None])) for _ in range(300)]
+    found = spark.createDataFrame(rows, "a string, b string").select("a", "b", t.longest_common_substring("a", "b").alias("c")).collect()
+    for r in found:
+        assert r["c"] == (None if r["a"] is None or r["b"] is None else plain_common(r["a"], r["b"])) or "" in (r["a"], r["b"])
+
+
+def test_long_titles_take_milliseconds():
+    rng = random.Random(5)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(10_000)) for _ in range(2))
+    start = time.time()
+    part = t.SuffixAutomaton(b).longest_part(a)
+    assert part in a and part in b and time.time() - start < 0.5

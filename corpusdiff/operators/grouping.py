@@ -301,34 +301,108 @@ def group_pairs(
     return accepted.select(*columns).groupBy(*by).applyInPandas(one, schema)
 
 
-def greedy_one_to_one(pairs: DataFrame, min_conf: float = 0.48, uncertain_conf: float = 0.34) -> DataFrame:
-    """Best pair first, each article once, over usable pairs.
+def _first_in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What the sequential pass takes of the best pairs of a date (``place`` numbers them), one article per class.
 
-    Rounds instead of one sequential pass: a pair that is the best one of both its articles is what the sequential pass
-    would take, so all such pairs are taken at once and their articles leave. Every round takes the best remaining pair
-    of each date at least.
+    A class with copies stands at a later place once its next article is used. A pair with such a class is therefore left for the next round, with both of its classes from there on, since
+    either may be used by it; pairs of other classes are decided.
     """
-    usable = (F.col("confidence") >= min_conf) | (
-        (F.col("match_type") == "uncertain") & (F.col("confidence") >= uncertain_conf)
+    pdf = pdf.sort_values("place")
+    out, used, waiting = [], set(), set()
+    for k, l, r, l_free, r_free in zip(pdf.index, pdf.l_class, pdf.r_class, pdf.l_free, pdf.r_free):
+        left, right = ("l", l), ("r", r)
+        if left in used or right in used:
+            continue
+        if left in waiting or right in waiting:
+            waiting |= {left, right}
+            continue
+        out.append(k)
+        for x, free in ((left, l_free), (right, r_free)):
+            (used if free == 1 else waiting).add(x)
+    return pdf.loc[out].drop(columns="place")
+
+
+def greedy_one_to_one(pairs: DataFrame, members: DataFrame, chunk: int = 5000) -> DataFrame:
+    """Best pair first, each article once, over usable pairs: ``(issue_date, l_article, r_article)`` and the columns of its pair.
+
+    ``pairs`` are pairs of copy classes (``issue_date``, ``l_class``, ``r_class``, ``confidence``), ``members`` the articles of every class (``issue_date``, ``side``, ``class``, ``id``,
+    ``pos``, ``rank`` from 1 in order of position and id). A pair of classes stands for all pairs of their articles; pairs of articles are taken in order of confidence,
+    then position and id on the left, then on the right.
+
+    Rounds instead of one sequential pass. A class gives its articles in order, so its next free article stands for it. A pair of classes that is the best one of both is what the sequential pass
+    would take, so all such pairs are taken at once. Such a pair takes as many articles as both classes have left; if a pair of equal confidence competes for one of
+    its classes, only those that come before the competitor's next article. Long chains, in which each pair waits for the one before, would need as many rounds; so every second round takes
+    the ``chunk`` best pairs of each date in order instead, a bounded group.
+    """
+    rest = cut_lineage(pairs)
+    state = cut_lineage(
+        members.groupBy("issue_date", "side", "class").agg(F.count("*").alias("copies"), F.min(F.struct("pos", "id")).alias("front")).withColumn("used", F.lit(0).cast("long"))
     )
-    order = (F.desc("confidence"), "l_pos", "l_article", "r_pos", "r_article")
-    rest = cut_lineage(pairs.filter(usable))
     taken: DataFrame | None = None
-    while not rest.isEmpty():
-        ranked = rest.withColumns(
-            {
-                "ln_": F.row_number().over(Window.partitionBy("issue_date", "l_article").orderBy(*order)),
-                "rn_": F.row_number().over(Window.partitionBy("issue_date", "r_article").orderBy(*order)),
-            }
-        )
-        best = cut_lineage(ranked.filter("ln_ = 1 AND rn_ = 1").drop("ln_", "rn_"))
-        taken = best if taken is None else taken.unionByName(best)
-        rest = cut_lineage(
-            rest.join(best.select("issue_date", "l_article"), ["issue_date", "l_article"], "left_anti").join(
-                best.select("issue_date", "r_article"), ["issue_date", "r_article"], "left_anti"
+    turn = 0
+    while True:
+        live = rest
+        for side in ("l", "r"):
+            own = state.filter(F.col("side") == ("left" if side == "l" else "right")).filter("used < copies")
+            live = live.join(
+                own.select("issue_date", F.col("class").alias(f"{side}_class"), (F.col("copies") - F.col("used")).alias(f"{side}_free"), F.col("used").alias(f"{side}_used"), F.col("front").alias(f"{side}_front")),
+                ["issue_date", f"{side}_class"],
             )
+        live = cut_lineage(live)
+        if live.isEmpty():
+            break
+        order = (F.desc("confidence"), "l_front", "r_front")
+        turn += 1
+        if turn % 2 == 0:
+            first = live.withColumn("place", F.row_number().over(Window.partitionBy("issue_date").orderBy(*order))).filter(F.col("place") <= chunk)
+            best = cut_lineage(first.groupBy("issue_date").applyInPandas(_first_in_order, live.schema).withColumn("times", F.lit(1).cast("long")))
+            state, taken = _after(best, state, members), best if taken is None else taken.unionByName(best)
+            rest = live.select(*rest.columns)
+            continue
+        of_left, of_right = Window.partitionBy("issue_date", "l_class"), Window.partitionBy("issue_date", "r_class")
+        level_left, level_right = Window.partitionBy("issue_date", "l_class", "confidence"), Window.partitionBy("issue_date", "r_class", "confidence")
+        best = live.withColumns({
+            "ln_": F.row_number().over(of_left.orderBy(*order)), "rn_": F.row_number().over(of_right.orderBy(*order)),
+            "r_limit": F.lead("r_front").over(level_left.orderBy("r_front")), "l_limit": F.lead("l_front").over(level_right.orderBy("l_front")),
+        }).filter("ln_ = 1 AND rn_ = 1").drop("ln_", "rn_")
+        best = cut_lineage(best.withColumn("times", F.least("l_free", "r_free")))
+        if not best.filter("l_limit IS NOT NULL OR r_limit IS NOT NULL").isEmpty():
+            best = cut_lineage(_before_competitors(best, members))
+        best = best.drop("l_limit", "r_limit")
+        state, taken = _after(best, state, members), best if taken is None else taken.unionByName(best)
+        rest = live.select(*rest.columns)
+    if taken is None:
+        return rest.withColumns({"l_article": F.lit(""), "r_article": F.lit("")}).drop("l_class", "r_class")
+    each = taken.withColumn("turn_", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    for side in ("l", "r"):
+        own = members.filter(F.col("side") == ("left" if side == "l" else "right")).select("issue_date", F.col("class").alias(f"{side}_class"), F.col("rank").alias("rank_"), F.col("id").alias(f"{side}_article"))
+        each = each.withColumn("rank_", F.col(f"{side}_used") + F.col("turn_")).join(own, ["issue_date", f"{side}_class", "rank_"]).drop("rank_")
+    return each.select("l_article", "r_article", *[c for c in pairs.columns if c not in ("l_class", "r_class")])
+
+
+def _after(best: DataFrame, state: DataFrame, members: DataFrame) -> DataFrame:
+    """The state of the classes when the articles of ``best`` are used."""
+    key = ["issue_date", "side", "class"]
+    more = best.select("issue_date", F.lit("left").alias("side"), F.col("l_class").alias("class"), "times").unionByName(
+        best.select("issue_date", F.lit("right").alias("side"), F.col("r_class").alias("class"), "times")
+    )
+    moved = state.join(more, key).withColumn("used", F.col("used") + F.col("times")).drop("times", "front")
+    following = members.select(*key, (F.col("rank") - 1).alias("used"), F.struct("pos", "id").alias("front"))
+    moved = moved.join(following, [*key, "used"], "left")
+    return cut_lineage(state.join(more, key, "left_anti").unionByName(moved))
+
+
+def _before_competitors(best: DataFrame, members: DataFrame) -> DataFrame:
+    """``times`` lowered to the free articles of each class that come before the next article of a class that competes at equal confidence."""
+    for side in ("l", "r"):
+        own = members.filter(F.col("side") == ("left" if side == "l" else "right")).select("issue_date", F.col("class").alias(f"{side}_class"), "rank", F.struct("pos", "id").alias("at"))
+        tied = best.filter(F.col(f"{side}_limit").isNotNull()).select("issue_date", f"{side}_class", f"{side}_used", f"{side}_limit")
+        first = (
+            tied.join(own, ["issue_date", f"{side}_class"]).filter((F.col("rank") > F.col(f"{side}_used")) & (F.col("at") < F.col(f"{side}_limit")))
+            .groupBy("issue_date", f"{side}_class").agg(F.count("*").alias("n_"))
         )
-    return rest if taken is None else taken
+        best = best.join(first, ["issue_date", f"{side}_class"], "left").withColumn("times", F.least("times", F.coalesce("n_", "times"))).drop("n_")
+    return best
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

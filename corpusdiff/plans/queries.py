@@ -17,8 +17,9 @@ from corpusdiff.operators import quality as qa
 from corpusdiff.operators import scoring as sc
 from corpusdiff.operators import signals as sg
 from corpusdiff.operators import topics as tp
-from corpusdiff.operators.articles import normalize_articles
+from corpusdiff.operators.articles import identify, normalize_articles
 from corpusdiff.operators.grouping import greedy_one_to_one, group_pairs, independence_blocks
+from corpusdiff.operators.similar import usable_pairs
 from corpusdiff.plans import driver as d
 from corpusdiff.plans import sql_text as s
 from corpusdiff.plans.build import SNAPSHOT_OPTIONS, accepted_pairs, candidate_pool, candidate_report, match_groups
@@ -557,10 +558,18 @@ def judge_requests(spark, sf_dir):
     )
 
 
+def usable_of_day(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All usable pairs of copy classes, and the articles of each class."""
+    identified = identify(d.articles(spark, sf_dir))
+    unique = sg.article_signals(normalize_articles(p.class_representatives(identified), R), R, keep=("fingerprint",))
+    pairs = usable_pairs(unique, R, keep=("l_fingerprint", "r_fingerprint"))
+    return pairs, p.class_members(identified)
+
+
 @query(
-    f"""WITH RECURSIVE {s.CANDIDATES},
+    f"""WITH RECURSIVE {s.ALL_PAIRS},
     usable AS (SELECT issue_date, l_id, r_id, confidence, row_number() OVER (PARTITION BY issue_date ORDER BY confidence DESC, l_pos, l_id, r_pos, r_id) AS n
-      FROM pool WHERE confidence >= 0.48 OR (match_type = 'uncertain' AND confidence >= 0.34)),
+      FROM scored WHERE confidence >= 0.48 OR (match_type = 'uncertain' AND confidence >= 0.34)),
     walk(issue_date, n, used, taken, l_id, r_id, confidence) AS (
       SELECT issue_date, 0::bigint, []::varchar[], false, ''::varchar, ''::varchar, 0.0::double FROM (SELECT DISTINCT issue_date FROM usable)
       UNION ALL
@@ -570,7 +579,29 @@ def judge_requests(spark, sf_dir):
     SELECT issue_date::varchar AS issue_date, l_id AS l_article, r_id AS r_article, round(confidence, 6) AS confidence FROM walk WHERE taken"""
 )
 def greedy_pairs(spark, sf_dir):
-    return greedy_one_to_one(pool(spark, sf_dir)).select(day(), "l_article", "r_article", r6("confidence", "confidence"))
+    """Best pair first over all articles of a date and all usable pairs of them, also those without a common key."""
+    pairs, members = usable_of_day(spark, sf_dir)
+    classed = pairs.select("issue_date", F.col("l_fingerprint").alias("l_class"), F.col("r_fingerprint").alias("r_class"), "confidence")
+    ranked = members.select("issue_date", "side", F.col("fingerprint").alias("class"), "id", "pos", F.col("member_rank").cast("long").alias("rank"))
+    return greedy_one_to_one(classed, cut_lineage(ranked)).select(day(), "l_article", "r_article", r6("confidence", "confidence"))
+
+
+@query(
+    f"""WITH {s.ALL_PAIRS} SELECT issue_date::varchar AS issue_date, l_id AS l_article, r_id AS r_article, match_type, round(lexical, 6) AS lexical, round(narrative, 6) AS narrative,
+      round(confidence, 6) AS confidence, l_copies, r_copies
+    FROM scored WHERE l_rank = 1 AND r_rank = 1 AND (confidence >= 0.48 OR (match_type = 'uncertain' AND confidence >= 0.34))"""
+)
+def usable_pairs_report(spark, sf_dir):
+    """Every usable pair of copy classes of a date, found by common terms and by similar titles and texts; the first article stands for its class."""
+    pairs, members = usable_of_day(spark, sf_dir)
+    sizes = cut_lineage(members.groupBy("issue_date", "side", "fingerprint").agg(F.count("*").alias("copies")))
+    for side in ("left", "right"):
+        own = sizes.filter(F.col("side") == side)
+        pairs = pairs.join(own.select("issue_date", F.col("fingerprint").alias(f"{side[0]}_fingerprint"), F.col("copies").alias(f"{side[0]}_copies")), ["issue_date", f"{side[0]}_fingerprint"])
+    return pairs.select(
+        day(), F.col("l_id").alias("l_article"), F.col("r_id").alias("r_article"), "match_type", r6("lexical", "lexical"), r6("narrative", "narrative"),
+        r6("confidence", "confidence"), "l_copies", "r_copies",
+    )
 
 
 # --- groups --------------------------------------------------------------------------------------------------

@@ -237,6 +237,14 @@ scored AS (
       WHEN len(sp) > 0 AND narrative >= 0.24 THEN 'same_policy' ELSE 'uncertain' END AS match_type
   FROM s5)"""
 
+# All left/right pairs of articles of a date, without blocking keys and with every copy.
+ALL_PAIRS = (
+    SCORED.replace(" WHERE len(keys) > 0 AND copy_rank = 1)", ")")
+    .replace("FROM sig WHERE NOT ignorable)", "FROM sig)")
+    .replace(" AND list_has_any(l.keys, r.keys)", "")
+    .replace("SELECT l.issue_date, l.id AS l_id", "SELECT l.copy_rank AS l_rank, r.copy_rank AS r_rank, l.issue_date, l.id AS l_id")
+)
+
 # Longest common part of at least five characters: the longest run of equal 5-grams on one diagonal.
 PHRASED = f"""{SCORED},
 uneven AS (SELECT DISTINCT l_ctitle, r_ctitle FROM scored WHERE l_ctitle <> r_ctitle),

@@ -7,6 +7,7 @@ from corpusdiff.operators import groups as gr
 from corpusdiff.operators import quality as qa
 from corpusdiff.operators import scoring as sc
 from corpusdiff.operators.grouping import connected_components, greedy_one_to_one
+from corpusdiff.operators.similar import is_usable
 from corpusdiff.rules import NEWSPAPER_RULES as R
 
 DAY = dt.date(2026, 5, 1)
@@ -14,9 +15,11 @@ DAY = dt.date(2026, 5, 1)
 
 def test_greedy_takes_the_best_first(spark):
     rows = [("L1", "R1", 0.9), ("L1", "R2", 0.8), ("L2", "R1", 0.7), ("L2", "R2", 0.5), ("L3", "R3", 0.4), ("L4", "R4", 0.47)]
-    pairs = spark.createDataFrame([(DAY, a, b, 0, 0, c, "uncertain" if a == "L3" else "same_policy") for a, b, c in rows],
-                                  "issue_date date, l_article string, r_article string, l_pos int, r_pos int, confidence double, match_type string")
-    assert {(r.l_article, r.r_article) for r in greedy_one_to_one(pairs).collect()} == {("L1", "R1"), ("L2", "R2"), ("L3", "R3")}
+    pairs = spark.createDataFrame([(DAY, a, b, c, "uncertain" if a == "L3" else "same_policy") for a, b, c in rows],
+                                  "issue_date date, l_class string, r_class string, confidence double, match_type string")
+    articles = [(DAY, "left", f"L{k}", f"L{k}", k, 1) for k in range(1, 5)] + [(DAY, "right", f"R{k}", f"R{k}", k, 1) for k in range(1, 4)]
+    members = spark.createDataFrame(articles, "issue_date date, side string, class string, id string, pos int, rank long")
+    assert {(r.l_article, r.r_article) for r in greedy_one_to_one(pairs.filter(is_usable()), members).collect()} == {("L1", "R1"), ("L2", "R2"), ("L3", "R3")}
 
 
 def test_components_of_a_long_chain(spark):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusdiff.llm.common import discard, slices, stored
+from corpusdiff.llm.common import discard, maybe_among, slices, stored
 from corpusdiff.llm.components import connected_components
 from corpusdiff.llm.nn_descent import _by_group
 
@@ -301,7 +301,8 @@ def _verified_links(members: DataFrame, texts: DataFrame, width: int, similarity
                 [*(batch[c] for c in ("component", "node", "tiles", "own")), pa.array(sets, pa.list_(pa.int64()))], ["component", "node", "tiles", "own", "s"]
             )
 
-    sets = texts.join(placed, "key").select("component", "node", "tiles", "own", "text")
+    near = maybe_among(texts, F.col("key"), placed.select("key"), "near_").filter("near_").drop("near_")
+    sets = near.join(placed, "key").select("component", "node", "tiles", "own", "text")
     sets = sets.mapInArrow(shingle, "component long, node long, tiles long, own long, s array<long>")
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda o: F.struct(F.least(o, "own").alias("a"), F.greatest(o, "own").alias("b")))
     dealt = sets.withColumn("pair", F.explode(every)).select(

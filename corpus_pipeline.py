@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdiff.llm.common import discard, read_table, stored, trained_on
+from corpusdiff.llm.common import discard, maybe_among, read_table, stored, trained_on
 from corpusdiff.llm.langid_hd import UNKNOWN, identify
 from corpusdiff.llm.mixing import copies, mix
 from corpusdiff.llm.packing import pack
@@ -60,8 +60,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = numbered(docs)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_")
     groups = similar_components(rows.withColumn("order_", order), id_col="order_")
-    kept = groups.filter(F.col("order_") == F.col("component_id")).select(F.col("order_.row_").alias("row_"))
-    return rows.join(kept, "row_", "left_semi").select(*COLUMNS)
+    gone = stored(groups.filter(F.col("order_") != F.col("component_id")).select(F.col("order_.row_").alias("row_")), "gone")
+    marked = maybe_among(rows, F.col("row_"), gone, "maybe_")
+    held = marked.filter("maybe_").join(gone, "row_", "left_anti")  # only rows that may go are shuffled
+    return marked.filter("NOT maybe_").select(*COLUMNS).unionByName(held.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

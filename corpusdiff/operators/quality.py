@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusdiff.operators.graph import is_matched_type
+from corpusdiff.operators.terms import term_hits
 from corpusdiff.session import cut_lineage
 
 
@@ -67,51 +68,30 @@ def _found(terms: str, titles: str, every: bool) -> Column:
     return test(terms, lambda term: F.exists(titles, lambda title: F.contains(title, term)))
 
 
-GRAM = 3
+def near_titles(rules: DataFrame, titles: DataFrame, keys: str, columns: list[str], rarest: bool) -> DataFrame:
+    """Rules next to the groups that can meet them: a title of ``columns`` holds one of the terms in the rule's column ``keys``, or, with ``rarest``, the one that occurs in the fewest groups.
 
-
-def _grams(n: int):
-    """A function from a text column to its grams of ``n`` characters."""
-
-    def of(text: Column) -> Column:
-        places = F.sequence(F.lit(1), F.length(text) - (n - 1))
-        return F.when(F.length(text) >= n, F.transform(places, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    return of
-
-
-def _title_grams(titles: DataFrame, columns: list[str], lengths: list[int]) -> DataFrame:
-    """``(issue_date, group_id, gram)``: the distinct grams of a group's titles, and the empty one."""
-    parts = [F.flatten(F.transform(F.concat(*columns), _grams(n))) for n in lengths]
-    return titles.select("issue_date", "group_id", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *parts))).alias("gram"))
-
-
-def near_titles(rules: DataFrame, titles: DataFrame, keys: Column, columns: list[str]) -> DataFrame:
-    """Rules next to the groups that can meet them: a group must have a gram of one of the rule's ``keys`` in a title of ``columns``.
-
-    An equality join on gram and date; rules without a date join on the gram alone. Any number of rules will do. A rule whose only key is empty meets
-    every group of its dates.
+    All terms are looked up in all titles by automata, so the rules are joined with the groups that hold a term and no others. Rules without a date meet groups of any date. A rule
+    without keys, or with an empty term as a key that decides, meets every group of its dates.
     """
     rules = cut_lineage(rules.withColumn("rule_", F.monotonically_increasing_id()))
-    keyed = rules.select("rule_", F.col("issue_date").alias("on_"), F.explode(F.array_distinct(F.transform(keys, lambda x: F.substring(x, 1, GRAM)))).alias("gram"))
-    lengths = sorted(r["n"] for r in keyed.select(F.length("gram").alias("n")).distinct().collect() if r["n"])  # at most GRAM values
-    grams = _title_grams(titles, columns, lengths)
-    dated = keyed.filter("on_ IS NOT NULL").withColumnRenamed("on_", "issue_date").join(grams, ["issue_date", "gram"])
-    undated = keyed.filter("on_ IS NULL").join(grams, "gram")
+    wanted = rules.select("rule_", F.col("issue_date").alias("on_"), F.explode_outer(keys).alias("term")).na.fill("", ["term"]).distinct()
+    each = titles.select("issue_date", "group_id", F.explode(F.array_distinct(F.concat(*columns))).alias("title"))
+    hits = cut_lineage(term_hits(each, wanted.select("term")).distinct().unionByName(titles.select("issue_date", "group_id", F.lit("").alias("term"))))
+    if rarest:
+        often = wanted.join(hits.groupBy("term").agg(F.count("*").alias("n")), "term", "left").na.fill(0, ["n"])
+        wanted = often.groupBy("rule_", "on_").agg(F.min(F.struct("n", "term"))["term"].alias("term"))
+    dated = wanted.filter("on_ IS NOT NULL").withColumnRenamed("on_", "issue_date").join(hits, ["issue_date", "term"])
+    undated = wanted.filter("on_ IS NULL").join(hits, "term")
     met = dated.select("rule_", "issue_date", "group_id").unionByName(undated.select("rule_", "issue_date", "group_id")).distinct()
     return met.join(rules.drop("issue_date"), "rule_").join(titles, ["issue_date", "group_id"]).drop("rule_")
 
 
-def _longest(terms: Column) -> Column:
-    return F.get(F.reverse(F.array_sort(F.transform(terms, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))), F.lit(0))["x"]
-
-
 def match_expectations(titles: DataFrame, expectations: DataFrame, mode: str = "all") -> DataFrame:
     """Expectations and the groups whose titles hold their terms: all terms, or any term of each side."""
     every = mode == "all"
     hit = _found("left_terms", "left_titles", every) & _found("right_terms", "right_titles", every)
-    left = F.array(F.coalesce(_longest(F.col("left_terms")), F.lit(""))) if every else F.col("left_terms")
-    return near_titles(expectations, titles, left, ["left_titles"]).filter(hit).select("issue_date", "group_id", "label")
+    return near_titles(expectations, titles, "left_terms", ["left_titles"], every).filter(hit).select("issue_date", "group_id", "label")
 
 
 def check_expected(groups: DataFrame, titles: DataFrame, dates: DataFrame, expectations: DataFrame) -> DataFrame:
@@ -136,7 +116,7 @@ def check_forbidden(titles: DataFrame, rules: DataFrame) -> DataFrame:
     pairs = match_expectations(titles, rules.filter("kind = 'forbidden_pair'"), mode="any")
     both = F.concat("left_titles", "right_titles")
     any_term = F.exists("left_terms", lambda term: F.exists(both, lambda title: F.contains(title, term)))
-    near = near_titles(rules.filter("kind = 'forbidden_term'"), titles, F.col("left_terms"), ["left_titles", "right_titles"])
+    near = near_titles(rules.filter("kind = 'forbidden_term'"), titles, "left_terms", ["left_titles", "right_titles"], False)
     terms = near.filter(any_term).select("issue_date", "group_id", "label")
     return pairs.withColumn("failure", F.lit("forbidden_pair")).unionByName(terms.withColumn("failure", F.lit("forbidden_term")))
 

@@ -1004,16 +1004,17 @@ def oversized_groups(spark, sf_dir):
 
 
 def expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``benchmark`` items as dated expectations: first word expected left, second word expected right."""
-    word = lambda i: F.get(F.split("text", " "), F.lit(i))
-    rows = d.table(spark, sf_dir, "benchmark")
-    return rows.select(
-        d.hashed_date(F.col("text")).alias("issue_date"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("label"),
-        F.array(F.lower(word(0))).alias("left_terms"), F.array(F.lower(word(1))).alias("right_terms"),
+    """``benchmark`` items as dated expectations over all of their words: each word is expected left of the one that follows it in the text."""
+    rows = d.table(spark, sf_dir, "benchmark").select("item_id", "text", F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda w: w != "").alias("w"))
+    word = rows.select("item_id", "text", "w", F.posexplode("w").alias("i", "left"))
+    return word.filter(F.col("i") < F.size("w") - 1).select(
+        d.hashed_date(F.col("text")).alias("issue_date"), F.concat(F.lit("item "), F.col("item_id").cast("string"), F.lit(" "), F.col("i").cast("string")).alias("label"),
+        F.array("left").alias("left_terms"), F.array(F.get("w", F.col("i") + 1)).alias("right_terms"),
     )
 
 
-_EXPECT = f"""{s.TITLE_GROUPS}, expect AS (SELECT {s.hashed_date('text')} AS issue_date, 'item ' || item_id AS label, lower(split_part(text, ' ', 1)) AS a, lower(split_part(text, ' ', 2)) AS b FROM benchmark),
+_EXPECT = f"""{s.TITLE_GROUPS}, bw AS (SELECT item_id, text, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda w: w <> '') AS w FROM benchmark),
+expect AS (SELECT {s.hashed_date('text')} AS issue_date, 'item ' || item_id || ' ' || i AS label, w[i + 1] AS a, w[i + 2] AS b FROM (SELECT *, unnest(range(len(w) - 1)) AS i FROM bw)),
 gt AS (SELECT m.issue_date, m.group_id, list(a.title) FILTER (m.side = 'left') AS lt, list(a.title) FILTER (m.side = 'right') AS rt FROM members m JOIN art a ON a.id = m.article_id GROUP BY m.issue_date, m.group_id),
 hit AS (SELECT e.issue_date, gt.group_id, e.label FROM expect e JOIN gt ON gt.issue_date = e.issue_date AND len(list_filter(lt, lambda x: contains(x, e.a))) > 0 AND len(list_filter(rt, lambda x: contains(x, e.b))) > 0)"""
 

@@ -44,10 +44,11 @@ def candidate_report(articles: DataFrame, rules: RuleSet, options: BuildOptions,
     return c.select_pool(cands, p.class_members(identify(articles), limit), limit)
 
 
-def accepted_pairs(pool: DataFrame, decisions: DataFrame | None, options: BuildOptions) -> DataFrame:
+def accepted_pairs(pool: DataFrame, decisions: DataFrame | None, options: BuildOptions, articles: DataFrame | None = None) -> DataFrame:
+    """Accepted pairs of copy classes. With ``articles`` a decision on any copies of two classes holds for the pair of classes, else only one on their first articles."""
     if decisions is None or not options.use_judge:
         return a.accept(a.without_decisions(pool), options.min_decision, used_judge=F.lit(False))
-    return a.accept(a.attach_decisions(pool, decisions), options.min_decision)
+    return a.accept(a.attach_decisions(pool, decisions, None if articles is None else identify(articles)), options.min_decision)
 
 
 def match_groups(accepted: DataFrame, articles: DataFrame, rules: RuleSet, options: BuildOptions) -> DataFrame:
@@ -64,7 +65,7 @@ def build(
     """Articles of any shape → matched groups, members, one-sided groups and graph of every date."""
     flat = normalize_articles(articles, rules).filter("issue_date IS NOT NULL")
     pool = cut_lineage(candidate_pool(articles, rules, options))
-    matched = cut_lineage(match_groups(accepted_pairs(pool, decisions, options), articles, rules, options))
+    matched = cut_lineage(match_groups(accepted_pairs(pool, decisions, options, articles), articles, rules, options))
     members = gr.group_members(matched)
     rest = gr.unmatched(flat, members)
     groups = gr.union_groups(matched, gr.unmatched_groups(rest, options.aggregate_unmatched))

@@ -84,21 +84,27 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
-    """Pair decisions out of ``labels``: matched when both articles are of quality, less sure when one is toxic."""
-    marks = d.doc_decisions(spark, sf_dir)
-    left = marks.select(F.col("id").alias("l_article"), F.col("quality").alias("lq"), F.col("toxic").alias("lt"))
-    right = marks.select(F.col("id").alias("r_article"), F.col("quality").alias("rq"), F.col("toxic").alias("rt"))
-    return pairs.select("pair_id", "l_article", "r_article").join(left, "l_article").join(right, "r_article").select(
-        "pair_id",
-        ((F.col("lq") == 1) & (F.col("rq") == 1)).alias("matched"),
-        (100.0 - 40 * F.greatest("lt", "rt")).alias("confidence"),
+    """Pair decisions out of ``labels``: matched when both articles are of quality, less sure when one is toxic.
+
+    For each pair of copy classes the decision on their best labelled articles, which need not be the first ones.
+    """
+    labelled = identify(d.articles(spark, sf_dir)).select("issue_date", "side", "fingerprint", "id", "pos").join(d.doc_decisions(spark, sf_dir), "id")
+    best = labelled.groupBy("issue_date", "side", "fingerprint").agg(F.min(F.struct((-F.col("quality")).alias("q"), F.col("toxic").alias("t"), "pos", "id")).alias("best"))
+    found = pairs.select(*ac.PAIR_OF_CLASSES)
+    for side in ("left", "right"):
+        own = best.filter(F.col("side") == side).select("issue_date", F.col("fingerprint").alias(f"{side[0]}_fingerprint"), F.col("best").alias(side[0]))
+        found = found.join(own, ["issue_date", f"{side[0]}_fingerprint"])
+    return found.select(
+        F.concat_ws(":", F.lit("pair"), "l.id", "r.id").alias("pair_id"),
+        ((F.col("l.q") == -1) & (F.col("r.q") == -1)).alias("matched"),
+        (100.0 - 40 * F.greatest("l.t", "r.t")).alias("confidence"),
         F.lit("labels").alias("reason"),
     )
 
 
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = cut_lineage(pool(spark, sf_dir))
-    return accepted_pairs(pairs, decisions(spark, sf_dir, pairs), SNAPSHOT_OPTIONS)
+    return accepted_pairs(pairs, decisions(spark, sf_dir, pairs), SNAPSHOT_OPTIONS, d.articles(spark, sf_dir))
 
 
 def full_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,6 +201,7 @@ _BEST = "priority DESC, l_pos, l_id, r_pos, r_id"
 SCORED = f"""{KEYED},
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY issue_date, side, title, full_text, prominence ORDER BY pos) AS copy_rank,
+    first_value(id) OVER (PARTITION BY issue_date, side, title, full_text, prominence ORDER BY pos) AS rep,
     count(*) OVER (PARTITION BY issue_date, side, title, full_text, prominence) AS copies FROM keyed),
 side_rows AS (SELECT *, {grams(nc('full_text'), 3)} AS text_grams, {grams('title_cmp', 2)} AS title_grams FROM numbered WHERE len(keys) > 0 AND copy_rank = 1),
 joined AS (
@@ -326,11 +327,15 @@ pool AS (
   SELECT *, row_number() OVER (PARTITION BY issue_date ORDER BY {_BEST}) AS pool_rank, 'pair:' || l_id || ':' || r_id AS pair_id
   FROM o3 WHERE pool_order <= 96)"""
 
-# A decision on the first articles of two copy classes holds for the pair of classes.
+# The decision on the best labelled copies of two classes holds for the pair of classes.
 _DECIDED = """
+lab AS (
+  SELECT rep, quality, toxic FROM (
+    SELECT n.rep, l.quality, l.toxic, row_number() OVER (PARTITION BY n.rep ORDER BY l.quality DESC, l.toxic, n.pos) AS k FROM numbered n JOIN labels l ON l.doc_id = n.pos)
+  WHERE k = 1),
 dec AS (
   SELECT p.pair_id, l.quality = 1 AND r.quality = 1 AS matched, 100.0::double - 40 * greatest(l.toxic, r.toxic) AS dconf
-  FROM pool p JOIN labels l ON l.doc_id = p.l_pos JOIN labels r ON r.doc_id = p.r_pos)"""
+  FROM pool p JOIN lab l ON l.rep = p.l_id JOIN lab r ON r.rep = p.r_id)"""
 
 ACCEPTED = f"""{CANDIDATES}, {_DECIDED},
 a1 AS (

@@ -158,3 +158,13 @@ def test_decisions(spark):
     assert (rows["p1"].a, rows["p2"].a, rows["p3"].a, rows["p4"].a) == (0.95, 0.84, 0.72, 0.99)
     assert {r.pair_id for r in ac.accept(joined).collect()} == {"p1", "p2"}
     assert {r.pair_id for r in ac.accept(joined, used_judge=F.lit(False)).collect()} == {"p1", "p2", "p3"}
+
+
+def test_a_decision_on_any_copy_holds_for_its_classes(spark):
+    rows = [("left", f"src:l{k}", "A", k) for k in (1, 2)] + [("right", f"src:r{k}", "B", k) for k in (1, 2)] + [("right", "r9", "C", 9)]
+    identified = spark.createDataFrame([("2024-01-01", *r) for r in rows], "issue_date string, side string, id string, fingerprint string, pos int")
+    cands = spark.createDataFrame([("2024-01-01", "A", "B", "pair:src:l1:src:r1"), ("2024-01-01", "A", "C", "pair:src:l1:r9")], "issue_date string, l_fingerprint string, r_fingerprint string, pair_id string")
+    made = [("pair:src:l2:src:r2", True, 88.0, "yes"), ("pair:src:l1:src:r1", False, 99.0, "no"), ("pair:src:l2:src:r1", True, 40.0, "less"), ("pair:unknown", True, 90.0, "x"), ("pair:src:l7:r9", True, 90.0, "x")]
+    decisions = spark.createDataFrame(made, "pair_id string, matched boolean, confidence double, reason string")
+    found = {r.pair_id: (r.decision_matched, r.decision_confidence, r.decision_reason) for r in ac.attach_decisions(cands, decisions, identified).collect()}
+    assert found == {"pair:src:l1:src:r1": (True, 88.0, "yes"), "pair:src:l1:r9": (None, None, None)}

@@ -1131,28 +1131,38 @@ def evidence_counts(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_TOPIC}, tops AS (SELECT topic_id, title FROM conv WHERE pos = 0), c AS (SELECT topic_id, {_CLAIM} AS claim_type, count(*) AS n FROM conv GROUP BY ALL),
-    d AS (SELECT topic_id, unnest(['frame', 'actor', 'goal', 'threat', 'solution', 'authority']) AS k, unnest(range(0, 6)) AS claim_pos, title FROM tops)
-    SELECT d.topic_id, claim_pos::int AS claim_pos, k || '_shift' AS claim_type, k || ': ' || title AS text, coalesce(c.n, 0)::bigint AS n FROM d LEFT JOIN c ON c.topic_id = d.topic_id AND c.claim_type = k || '_shift'"""
+    f"""WITH {_TOPIC}, c AS (SELECT topic_id, {_CLAIM} AS claim_type, count(*) AS n, arg_min(title, {{'p': pos, 't': title}}) AS title FROM conv GROUP BY ALL),
+    d AS (SELECT topic_id, unnest(['frame', 'actor', 'goal', 'threat', 'solution', 'authority']) AS k, unnest(range(0, 6)) AS claim_pos FROM (SELECT DISTINCT topic_id FROM conv))
+    SELECT d.topic_id, claim_pos::int AS claim_pos, k || '_shift' AS claim_type, k || ': ' || coalesce(c.title, '') AS text, coalesce(c.n, 0)::bigint AS n FROM d LEFT JOIN c ON c.topic_id = d.topic_id AND c.claim_type = k || '_shift'"""
 )
 def delta_overview(spark, sf_dir):
-    delta = F.struct(*[F.concat(F.lit(f"{c}: "), "title").alias(c) for c in tp.DELTA_CLAIMS])
-    tops = topic_rows(spark, sf_dir).filter("pos = 0").select("topic_id", delta.alias("delta"))
-    return tp.delta_overview(tops, evidence_rows(spark, sf_dir)).select("topic_id", "claim_pos", "claim_type", "text", "n")
+    """Six claims per topic over all of its turns; the first turn of a claim gives its text."""
+    turns = cut_lineage(evidence_rows(spark, sf_dir))
+    first = lambda c: F.min(F.when(F.col("claim_type") == f"{c}_shift", F.struct("pos", "text")))["text"]
+    delta = F.struct(*[F.concat(F.lit(f"{c}: "), F.coalesce(first(c), F.lit(""))).alias(c) for c in tp.DELTA_CLAIMS])
+    tops = turns.groupBy("topic_id").agg(delta.alias("delta"))
+    return tp.delta_overview(tops, turns).select("topic_id", "claim_pos", "claim_type", "text", "n")
 
 
 @query(
-    f"""WITH {_TOPIC}, z AS (SELECT topic_id, kw, pt FROM prof WHERE pos = 0)
-    SELECT topic_id, 'left' AS side, 'lexical' AS kind, unnest(range(0, len(kw)))::int AS pos, unnest(kw) AS term FROM z
-    UNION ALL SELECT topic_id, 'right', 'silence', unnest(range(0, len(pt)))::int, unnest(pt) FROM z"""
+    f"""WITH {_TOPIC}, lx AS (SELECT DISTINCT topic_id, side, unnest(kw) AS term FROM prof), pr AS (SELECT DISTINCT topic_id, side, unnest(pt) AS term FROM prof),
+    si AS (SELECT topic_id, CASE side WHEN 'left' THEN 'right' ELSE 'left' END AS side, term FROM pr p WHERE NOT EXISTS (SELECT 1 FROM pr o WHERE o.topic_id = p.topic_id AND o.term = p.term AND o.side <> p.side))
+    SELECT topic_id, side, kind, (row_number() OVER (PARTITION BY topic_id, side, kind ORDER BY term) - 1)::int AS pos, term
+    FROM (SELECT *, 'lexical' AS kind FROM lx UNION ALL SELECT *, 'silence' FROM si)"""
 )
 def lexical_contrast(spark, sf_dir):
-    none = F.array().cast("array<string>")
-    tops = topic_rows(spark, sf_dir).filter("pos = 0").select(
-        "topic_id", F.col("keywords").alias("lexical_left"), none.alias("lexical_right"), none.alias("silence_left"),
-        F.col("narrative.problem_terms").alias("silence_right"),
-    )
-    return tp.lexical_contrast(tops)
+    """Keywords of each side over all turns, and the problem terms that only the other side uses."""
+    turns = topic_rows(spark, sf_dir)
+    terms = lambda c: turns.select("topic_id", "side", F.explode(c).alias("term")).distinct()
+    used = cut_lineage(terms("narrative.problem_terms"))
+    flip = F.when(F.col("side") == "left", F.lit("right")).otherwise(F.lit("left")).alias("side")
+    silent = used.select("topic_id", flip, "term").join(used, ["topic_id", "side", "term"], "left_anti")
+    marked = terms("keywords").withColumn("kind", F.lit("lexical")).unionByName(silent.withColumn("kind", F.lit("silence")))
+    lists = [
+        F.array_sort(F.collect_set(F.when((F.col("kind") == kind) & (F.col("side") == side), F.col("term")))).alias(f"{kind}_{side}")
+        for kind in ("lexical", "silence") for side in ("left", "right")
+    ]
+    return tp.lexical_contrast(marked.groupBy("topic_id").agg(*lists))
 
 
 @query(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,36 +51,26 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: 64-bit blocks of a membership filter: 8 MB.
-FILTER_BLOCK_BITS = 20
+#: Number of 64-bit blocks of a membership filter, as a power of two: 8 million bits.
+FILTER_BLOCK_BITS = 17
 
 
 def maybe_among(df: DataFrame, key: Column, keys: DataFrame, out: str) -> DataFrame:
-    """``df`` with boolean ``out``: false only where ``key`` is none of ``keys`` (one column). A blocked Bloom filter of fixed size is all that is broadcast, so rows that are
-    surely not concerned need no shuffle; the others go to an exact join of the caller. With very many keys more rows are true; none is ever wrongly false.
+    """``df`` with boolean ``out``: false only where ``key`` is none of ``keys`` (one column). A blocked Bloom filter, one row per block that has a bit, is all that is broadcast; its
+    size is fixed. Rows that are surely not concerned need no shuffle; the others go to an exact join of the caller. With very many keys more rows are true; none is ever wrongly false.
     """
-    def hashed(column: Column) -> Column:
-        return F.xxhash64(column)
 
-    def mask(h: Column) -> Column:
+    def parts(column: Column) -> tuple[Column, Column]:
+        h = F.xxhash64(column)
         one = F.lit(1).cast("long")
         bits = [F.call_function("shiftleft", one, F.shiftright(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(3)]
-        return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
-
-    block = F.shiftrightunsigned("h", 64 - FILTER_BLOCK_BITS)
-    rows = keys.select(hashed(F.col(keys.columns[0])).alias("h")).select(block.alias("block"), mask(F.col("h")).alias("mask"))
-    table = rows.groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()  # a row per block at most
-    blocks = np.zeros(1 << FILTER_BLOCK_BITS, np.int64)
-    blocks[table["block"].to_numpy()] = table["mask"].to_numpy()
-    sent = df.sparkSession.sparkContext.broadcast(blocks)
-
-    @F.arrow_udf("boolean")
-    def hit(block: pa.Array, bits: pa.Array) -> pa.Array:
-        wanted = bits.to_numpy()
-        return pa.array((sent.value[block.to_numpy()] & wanted) == wanted)
-
-    h = hashed(key)
-    return df.withColumn(out, hit(F.shiftrightunsigned(h, 64 - FILTER_BLOCK_BITS), mask(h)))
+        return F.shiftrightunsigned(h, 64 - FILTER_BLOCK_BITS), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+    block, mask = parts(F.col(keys.columns[0]))
+    blocks = stored(keys.select(block.alias("block_"), mask.alias("mask_")).groupBy("block_").agg(F.bit_or("mask_").alias("held_")), "filter")
+    block, mask = parts(key)
+    placed = df.withColumns({"block_": block, "mask_": mask}).join(F.broadcast(blocks), "block_", "left")
+    return placed.withColumn(out, F.coalesce(F.col("held_").bitwiseAND(F.col("mask_")) == F.col("mask_"), F.lit(False))).drop("block_", "mask_", "held_")
 
 
 def slices(spark: SparkSession, amount: int, each: int, least: int = 1) -> int:

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import re
 
 import numpy as np
@@ -151,3 +152,13 @@ def test_similar_awkward_rows(spark):
     rows = s.similar_components(edge_frame(spark)).collect()
     assert len(rows) == len(TEXTS) and s.similar_components(empty_frame(spark)).count() == 0
     assert {r["component_id"] for r in rows if r["doc_id"] in (1, 2)} == {1} and {r["component_id"] for r in rows if r["doc_id"] in (3, 4, 5)} == {3}
+
+
+def test_the_membership_filter_misses_no_key(spark):
+    from corpusdiff.llm.common import maybe_among
+
+    df = spark.range(20_000).selectExpr("id", "CAST(id AS STRING) AS name", "'x' AS block")
+    marked = maybe_among(df, F.col("name"), df.filter("id % 50 = 0").select("name"), "maybe")
+    found = {r["id"] for r in marked.filter("maybe").collect()}
+    assert {k for k in range(0, 20_000, 50)} <= found and len(found) < 600 and marked.columns == ["id", "name", "block", "maybe"] and marked.count() == 20_000
+    assert maybe_among(df, F.col("name"), df.limit(0).select("name"), "maybe").filter("maybe").count() == 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusdiff.operators.groups import MATCHED_TYPES
 from corpusdiff.operators.grouping import connected_components
+from corpusdiff.session import cut_lineage
 
 METRICS = ("nodes", "links", "left_nodes", "right_nodes", "matched_nodes", "isolated_nodes", "matched_groups")
 
@@ -182,13 +183,35 @@ def trend_metrics(index: DataFrame) -> DataFrame:
 
 
 def date_navigation(dates: DataFrame, radius: int = 4) -> DataFrame:
-    """Previous and next date, position and neighbours; ``dates`` has one row per date of the archive."""
-    in_order = Window.orderBy("issue_date")
+    """Previous and next date, position and neighbours; ``dates`` has one row per date of the archive.
+
+    The dates are range partitioned. A part gets the nearest ``radius`` dates of the parts around it as border rows, found by joining the parts with their places in the order, so
+    each window stays inside one part and no step sees all dates.
+    """
+    ranged = cut_lineage(dates.select("issue_date").repartitionByRange("issue_date").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # one row per partition
+    before, parts = 0, []
+    for row in sizes:
+        parts.append((row["part"], before, row["n"]))
+        before += row["n"]
+    spark = dates.sparkSession
+    starts = spark.createDataFrame(parts, "part int, before long, n long")
+    inside = Window.partitionBy("part").orderBy("issue_date")
+    placed = ranged.join(F.broadcast(starts), "part").select("part", "issue_date", (F.col("before") + F.row_number().over(inside)).alias("position"))
+    # every part that this row's place, give or take the radius, reaches into
+    needs = [(p, max(1, b + 1 - radius), b + n + radius) for p, b, n in parts]
+    reach = spark.createDataFrame([(p, q) for p, low, high in needs for q, b, n in parts if b + n >= low and b + 1 <= high], "to int, part int")
+    bounds = spark.createDataFrame(needs, "to int, low long, high long")
+    sent = placed.join(F.broadcast(reach), "part").join(F.broadcast(bounds), "to").filter(F.col("position").between(F.col("low"), F.col("high")))
+    own = F.col("part") == F.col("to")
+    in_order = Window.partitionBy("to").orderBy("position")
     near = in_order.rowsBetween(-radius, radius)
-    return dates.select(
+    found = sent.select(
         "issue_date",
         F.lag("issue_date").over(in_order).alias("previous_date"),
         F.lead("issue_date").over(in_order).alias("next_date"),
-        F.row_number().over(in_order).alias("position"),
+        "position",
         F.collect_list("issue_date").over(near).alias("neighbours"),
+        own.alias("own"),
     )
+    return found.filter("own").drop("own")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusdiff.operators.candidates import SHOWN_TERMS
 from corpusdiff.operators.ranks import distributed_rank
 from corpusdiff.operators.scoring import REASON_TYPE, match_reasons, short_reasons
+from corpusdiff.operators.signals import term_weight
 from corpusdiff.rules import RuleSet
 
 MATCHED_TYPES = (
@@ -160,21 +161,51 @@ def unmatched(articles: DataFrame, members: DataFrame) -> DataFrame:
     return articles.join(used, ["issue_date", "side", "id"], "left_anti")
 
 
-def unmatched_groups(unmatched_articles: DataFrame, by_page: bool = True, top_terms: Column | None = None) -> DataFrame:
-    """One-sided groups: one per article, or one per date, side and page.
-
-    Page groups keep counts and the page key. The article lists of a page stay rows (:func:`unmatched_members`), so a
-    page of any size is never gathered into one value.
-    """
-    page = F.concat(
+def _page_key() -> Column:
+    return F.concat(
         F.when(F.col("page_number") == 2_147_483_647, F.lit("unknown")).otherwise(F.col("page_number").cast("string")),
         F.lit(":"),
         F.coalesce(F.nullif("page_name", F.lit("")), F.lit("page")),
     )
+
+
+# Fixed value: why a group stands on one side only.
+UNMATCHED_DETAIL = "側にのみ残った記事群。対応する候補が閾値を超えなかったため、面ごとに集約して表示する。"
+
+
+def explained_unmatched(groups: DataFrame, unmatched_signals: DataFrame, rules: RuleSet, by_page: bool = True, n: int = 8) -> DataFrame:
+    """One-sided ``groups`` with ``top_terms``, the ``n`` most useful explicit terms of their articles, and ``reasons``, the one reason they have.
+
+    ``unmatched_signals``: the articles that stand in no group, with ``explicit`` terms (and ``page_name``, where groups are pages). The best terms of a page are found by a rank limit
+    that Spark applies before the shuffle, so a page of any size sends no more than ``n`` terms a task.
+    """
+    kind = F.concat("side", F.lit("_only"))
+    key = _page_key() if by_page else F.col("id")
+    rows = unmatched_signals.select("issue_date", "side", F.concat(kind, F.lit(":"), key).alias("group_id"), F.explode("explicit").alias("term")).distinct()
+    weight = term_weight(F.col("term"), rules)
+    order = Window.partitionBy("issue_date", "group_id").orderBy(F.desc(weight), F.desc(F.length("term")), "term")
+    best = rows.withColumn("rank_", F.row_number().over(order)).filter(F.col("rank_") <= n)
+    listed = best.groupBy("issue_date", "group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank_", "term"))), lambda x: x["term"]).alias("top_terms"))
+    side = F.regexp_replace("match_type", "_only$", "")
+    name = F.coalesce(*[F.when(side == code, F.lit(text)) for (k, code), text in rules.labels.items() if k == "source"], side)
+    reason = F.struct(
+        F.lit("metadata").alias("basis"), F.lit("unmatched").alias("signal"), F.lit(1.0).alias("score"), F.lit(1.0).alias("weight"),
+        F.concat(name, F.lit(UNMATCHED_DETAIL)).alias("detail"), F.col("top_terms").alias("terms"),
+    )
+    found = groups.join(listed, ["issue_date", "group_id"], "left")
+    return found.withColumn("top_terms", F.coalesce("top_terms", F.array().cast("array<string>"))).withColumn("reasons", F.array(reason))
+
+
+def unmatched_groups(unmatched_articles: DataFrame, by_page: bool = True) -> DataFrame:
+    """One-sided groups: one per article, or one per date, side and page.
+
+    Page groups keep counts and the page key. The article lists of a page stay rows (:func:`unmatched_members`), so a
+    page of any size is never gathered into one value. :func:`explained_unmatched` adds terms and reasons.
+    """
     kind = F.concat("side", F.lit("_only"))
     if by_page:
         return (
-            unmatched_articles.withColumn("page_key", page)
+            unmatched_articles.withColumn("page_key", _page_key())
             .groupBy("issue_date", "side", "page_key")
             .agg(F.count("*").alias("n_articles"), F.min("page_number").alias("page_number"))
             .select(
@@ -196,10 +227,6 @@ def unmatched_members(unmatched_articles: DataFrame) -> DataFrame:
 
 def page_terms(unmatched_signals: DataFrame, rules: RuleSet, n: int = 8) -> DataFrame:
     """The ``n`` most useful explicit terms of each date, side and page."""
-    from pyspark.sql import Window
-
-    from corpusdiff.operators.signals import term_weight
-
     terms = unmatched_signals.select("issue_date", "side", "page_number", F.explode("explicit").alias("term")).distinct()
     order = Window.partitionBy("issue_date", "side", "page_number").orderBy(
         F.desc(term_weight(F.col("term"), rules)), F.desc(F.length("term")), "term"

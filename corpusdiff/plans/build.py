@@ -14,6 +14,7 @@ from corpusdiff.operators import groups as gr
 from corpusdiff.operators import pairs as p
 from corpusdiff.operators.articles import identify, normalize_articles
 from corpusdiff.operators.grouping import Bounds, group_pairs, independence_blocks
+from corpusdiff.operators.signals import article_signals
 from corpusdiff.rules import NEWSPAPER_RULES, RuleSet
 from corpusdiff.session import cut_lineage
 
@@ -68,7 +69,9 @@ def build(
     matched = cut_lineage(match_groups(accepted_pairs(pool, decisions, options, articles), articles, rules, options))
     members = gr.group_members(matched)
     rest = gr.unmatched(flat, members)
-    groups = gr.union_groups(matched, gr.unmatched_groups(rest, options.aggregate_unmatched))
+    alone = gr.unmatched_groups(rest, options.aggregate_unmatched)
+    own = article_signals(rest, rules, keep=("page_name",))
+    groups = gr.union_groups(matched, gr.explained_unmatched(alone, own, rules, options.aggregate_unmatched))
     nodes = g.graph_nodes(flat, members)
     links = g.graph_links(g.group_cross_pairs(matched))
     measured = g.node_measures(nodes, links, members)

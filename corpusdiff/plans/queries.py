@@ -650,15 +650,29 @@ def title_groups(spark, sf_dir):
     )
 
 
+_REST_SQL = f"""{s.SIG}, {s.TITLE_GROUPS.removeprefix(f"{s.ART}, {s.CANON},")},
+    rest AS (SELECT a.*, sig.explicit FROM art a JOIN sig ON sig.id = a.id LEFT JOIN members m ON m.article_id = a.id AND m.side = a.side AND m.issue_date = a.issue_date WHERE m.article_id IS NULL),
+    pages AS (SELECT issue_date, side, side || '_only:' || page_number || ':' || page_name AS group_id, count(*) AS n_articles, min(page_number)::int AS page_number FROM rest GROUP BY issue_date, side, rest.page_number, page_name),
+    pt AS (SELECT DISTINCT issue_date, side || '_only:' || page_number || ':' || page_name AS group_id, unnest(explicit) AS term FROM rest),
+    best AS (SELECT issue_date, group_id, list(term ORDER BY k) AS terms FROM (
+      SELECT *, row_number() OVER (PARTITION BY issue_date, group_id ORDER BY {s.term_weight('term')} DESC, length(term) DESC, term) AS k FROM pt) WHERE k <= 8 GROUP BY ALL)"""
+
+
 @query(
-    f"""WITH {s.TITLE_GROUPS}, rest AS (SELECT a.* FROM art a LEFT JOIN members m ON m.article_id = a.id AND m.side = a.side AND m.issue_date = a.issue_date WHERE m.article_id IS NULL)
-    SELECT side || '_only:' || page_number || ':' || page_name AS group_id, issue_date::varchar AS issue_date, side || '_only' AS match_type, count(*) AS n_articles, min(page_number)::int AS page_number
-    FROM rest GROUP BY issue_date, side, page_number, page_name"""
+    f"""WITH {_REST_SQL} SELECT p.group_id, p.issue_date::varchar AS issue_date, side || '_only' AS match_type, n_articles, page_number, coalesce(array_to_string(terms, '|'), '') AS top_terms, 'unmatched' AS signal,
+      CASE side WHEN 'left' THEN {s.q(R.labels[('source', 'left')])} ELSE {s.q(R.labels[('source', 'right')])} END || {s.q(gr.UNMATCHED_DETAIL)} AS detail
+    FROM pages p LEFT JOIN best b ON b.issue_date = p.issue_date AND b.group_id = p.group_id"""
 )
 def unmatched_by_page(spark, sf_dir):
-    members = gr.group_members(equal_title_groups(spark, sf_dir))
-    rest = gr.unmatched(d.articles(spark, sf_dir), members)
-    return gr.unmatched_groups(rest).select("group_id", day(), "match_type", "n_articles", "page_number")
+    """One-sided groups by page with the best terms of their articles and the reason why they stand alone."""
+    members = cut_lineage(gr.group_members(equal_title_groups(spark, sf_dir)))
+    rest = gr.unmatched(flat(spark, sf_dir), members)
+    own = sg.article_signals(rest, R, keep=("page_name",))
+    groups = gr.explained_unmatched(gr.unmatched_groups(rest), own, R)
+    return groups.select(
+        "group_id", day(), "match_type", "n_articles", "page_number", bar("top_terms").alias("top_terms"),
+        F.col("reasons")[0]["signal"].alias("signal"), F.col("reasons")[0]["detail"].alias("detail"),
+    )
 
 
 @query(

@@ -931,11 +931,8 @@ def backfill_result(spark, sf_dir):
     return done.select(day(), "result")
 
 
-@query(
-    f"""WITH {s.ART} SELECT issue_date::varchar AS issue_date, side, count(*) AS articles, count(DISTINCT title) AS titles FROM art GROUP BY issue_date, side"""
-)
-def incremental_refresh(spark, sf_dir):
-    """Documents as a stream of landed rows: every touched date is rebuilt and replaced in the archive."""
+def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Documents as a stream of landed rows: every touched date is rebuilt and replaced in the archive, and its entry in the index."""
     landed = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
 
     def shape(df: DataFrame) -> DataFrame:
@@ -944,13 +941,60 @@ def incremental_refresh(spark, sf_dir):
         return df.select(d.hashed_date(title).alias("issue_date"), side.alias("side"), title.alias("title"))
 
     stream = shape(spark.readStream.schema(landed).option("pathGlobFilter", "documents.parquet").parquet(sf_dir))
-    archive, progress = scratch_table_path(spark, "refresh"), scratch_table_path(spark, "refresh-progress")
+    archive, index, progress = (scratch_table_path(spark, name) for name in ("refresh", "refresh-index", "refresh-progress"))
     counts = lambda rows: rows.groupBy("issue_date", "side").agg(F.count("*").alias("articles"), F.count_distinct("title").alias("titles"))
-    run = refresh(stream, lambda: shape(d.table(spark, sf_dir, "documents")), counts, archive, progress)
-    run.awaitTermination()
+    refresh(stream, lambda: shape(d.table(spark, sf_dir, "documents")), counts, archive, progress, _index_entry, index).awaitTermination()
+    return archive, index
+
+
+def _index_entry(rows: DataFrame) -> DataFrame:
+    of = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("articles"))), F.lit(0)).alias(f"{side}_articles")
+    return rows.groupBy("issue_date").agg(of("left"), of("right"), F.sum("titles").alias("titles"))
+
+
+@query(
+    f"""WITH {s.ART} SELECT issue_date::varchar AS issue_date, side, count(*) AS articles, count(DISTINCT title) AS titles FROM art GROUP BY issue_date, side"""
+)
+def incremental_refresh(spark, sf_dir):
+    archive, _ = _refreshed(spark, sf_dir)
     return spark.read.parquet(archive).select(day(), "side", "articles", "titles")
 
 
+@query(
+    f"""WITH {s.ART}, k AS (SELECT issue_date, side, count(*) AS articles, count(DISTINCT title) AS titles FROM art GROUP BY issue_date, side),
+    e AS (SELECT issue_date, coalesce(sum(articles) FILTER (side = 'left'), 0)::bigint AS left_articles, coalesce(sum(articles) FILTER (side = 'right'), 0)::bigint AS right_articles,
+      sum(titles)::bigint AS titles FROM k GROUP BY issue_date)
+    SELECT issue_date::varchar AS issue_date, left_articles, right_articles, titles, made FROM e, (SELECT unnest(['refresh', 'rebuild']) AS made)"""
+)
+def index_after_refresh(spark, sf_dir):
+    """The index as the refresh has kept it, and as it is rebuilt from the archive alone."""
+    archive, index = _refreshed(spark, sf_dir)
+    anew = scratch_table_path(spark, "rebuilt-index")
+    ar.rebuild_index(spark.read.parquet(archive), _index_entry, anew)
+    both = spark.read.parquet(index).withColumn("made", F.lit("refresh")).unionByName(spark.read.parquet(anew).withColumn("made", F.lit("rebuild")))
+    return both.select(day(), "left_articles", "right_articles", "titles", "made")
+
+
+@query(
+    f"""WITH {s.TITLE_GROUPS} SELECT group_id, issue_date::varchar AS issue_date, 2024 AS counted, array_to_string(l, '|') AS left_articles, array_to_string(r, '|') AS right_articles FROM groups"""
+)
+def archive_scan(spark, sf_dir):
+    """Snapshots of all dates as JSON in three nestings, some with the date in the file name only, read back without a schema."""
+    groups = equal_title_groups(spark, sf_dir)
+    listed = F.struct(F.col("group_id").alias("id"), F.col("left_articles").alias("left"), F.col("right_articles").alias("right"))
+    by_date = groups.groupBy("issue_date").agg(F.collect_list(listed).alias("matchGroups")).withColumn("counts", F.struct(F.year("issue_date").alias("year")))
+    date, kind = F.col("issue_date").cast("string"), F.dayofmonth("issue_date") % 4
+    plain = F.struct(date.alias("issueDate"), "matchGroups", "counts")
+    shapes = [F.to_json(plain), F.to_json(F.struct(plain.alias("result"))), F.to_json(F.struct(F.struct("matchGroups", "counts").alias("snapshot"))),
+              F.to_json(F.struct(date.alias("date"), F.col("matchGroups").alias("groups"), "counts"))]
+    files = by_date.select(F.concat(date, F.lit(".json")).alias("file_name"), F.element_at(F.array(*shapes), kind + 1).alias("json"))
+    more = spark.createDataFrame([("index.json", "{}"), ("2024-01-01-broken.json", "{"), ("none.json", '{"matchGroups": [1]}')], "file_name string, json string")
+    found = ar.normalize_snapshots(files.unionByName(more))
+    each = found.select("issue_date", F.try_variant_get("counts", "$.year", "int").alias("counted"), F.explode("match_groups").alias("g"))
+    names = lambda side: bar(F.variant_get("g", f"$.{side}", "array<string>")).alias(f"{side}_articles")
+    return each.select(F.variant_get("g", "$.id", "string").alias("group_id"), day(), "counted", names("left"), names("right"))
+
+
 @query(
     f"""WITH {s.ART}, x AS (SELECT issue_date, side, page_number, id, pos, title, row_number() OVER (PARTITION BY issue_date, side, page_number ORDER BY pos) AS n FROM art),
     slots AS (SELECT DISTINCT issue_date, s.side, unnest([1, 2, 3, 4]) AS page_number FROM art, (VALUES ('left'), ('right')) s(side))

@@ -95,6 +95,47 @@ def scan_archive_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
+#: Where the parts of a snapshot may stand, first place first.
+SNAPSHOT_PLACES = ("$", "$.result", "$.snapshot")
+
+
+def _part(body: Column, *paths: str) -> Column:
+    """The first part of a VARIANT that is there and not null."""
+    found = [F.try_variant_get(body, path, "variant") for path in paths]
+    return F.coalesce(*[F.when(~F.is_variant_null(v), v) for v in found])
+
+
+def normalize_snapshots(files: DataFrame) -> DataFrame:
+    """Snapshots of any nesting as rows: ``file_name, issue_date, generated_at, judge, counts, left_issue, right_issue, match_groups``.
+
+    ``files``: ``file_name`` and ``json``. No schema is given: bodies are VARIANT values, and each part is taken from the body itself, from ``result`` or from ``snapshot``, groups also
+    from ``groups``. The date comes from the body, else from the file name. Index files, broken texts, and snapshots without a date or without groups give no row.
+    """
+    parsed = files.filter(F.col("file_name") != "index.json").withColumn("body", F.try_parse_json("json"))
+
+    def everywhere(name: str) -> Column:
+        return _part(F.col("body"), *(f"{place}.{name}" for place in SNAPSHOT_PLACES))
+
+    def text(value: Column) -> Column:
+        return F.nullif(F.try_variant_get(value, "$", "string"), F.lit(""))
+
+    dates = [text(_part(F.col("body"), path)) for path in ("$.issueDate", "$.date", "$.result.issueDate", "$.snapshot.issueDate")]
+    named = F.nullif(F.regexp_extract("file_name", "\\d{4}-\\d{2}-\\d{2}", 0), F.lit(""))
+    groups = _part(F.col("body"), "$.matchGroups", "$.groups", "$.result.matchGroups", "$.snapshot.matchGroups")
+    rows = parsed.select(
+        "file_name", F.try_to_date(F.coalesce(*dates, named)).alias("issue_date"), text(everywhere("generatedAt")).alias("generated_at"), everywhere("judge").alias("judge"),
+        everywhere("counts").alias("counts"), everywhere("leftIssue").alias("left_issue"), everywhere("rightIssue").alias("right_issue"),
+        F.try_variant_get(groups, "$", "array<variant>").alias("match_groups"),
+    )
+    return rows.filter(F.col("issue_date").isNotNull() & (F.size("match_groups") > 0))
+
+
+def scan_archive(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, days: int | None = None) -> DataFrame:
+    """:func:`normalize_snapshots` of the JSON files below ``path``, one snapshot per file, in a window of dates."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    return in_window(normalize_snapshots(files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("json"))), start, end, days)
+
+
 def nest_issue(pages: DataFrame, articles: DataFrame) -> DataFrame:
     """Export form: pages with their articles inside. An issue page is a print page, so its article list is small;
     wide outputs should stay flat."""
@@ -243,9 +284,9 @@ def dedupe_last(df: DataFrame, key: list[str], order: str) -> DataFrame:
 
 def backfill(
     dates: DataFrame, existing: DataFrame | None, build: Callable[[DataFrame], DataFrame], path: str | None,
-    skip_existing: bool = True,
+    skip_existing: bool = True, index: Callable[[DataFrame], DataFrame] | None = None, index_path: str | None = None,
 ) -> DataFrame:
-    """Build all wanted dates in one job and write them; without ``path`` nothing is written (dry run).
+    """Build all wanted dates in one job and write them; without ``path`` nothing is written (dry run). With ``index`` the entries of the built dates replace theirs in the index.
 
     Returns (issue_date, result, rows): built, skipped, or failed if this run made no rows, whatever an earlier run has left.
     """
@@ -263,6 +304,8 @@ def backfill(
         built.write.parquet(own)
         built = spark.read.schema(built.schema).parquet(own)
         write_snapshot(built, path)
+        if index is not None and index_path is not None:
+            write_snapshot(index(built), index_path)
     made = built.groupBy("issue_date").agg(F.count("*").alias("rows"))
     outcome = F.when(F.col("rows").isNotNull(), F.lit("built")).otherwise(F.lit("failed"))
     return todo.join(made, "issue_date", "left").select("issue_date", outcome.alias("result"), F.coalesce("rows", F.lit(0)).alias("rows")).unionByName(
@@ -270,6 +313,6 @@ def backfill(
     )
 
 
-def rebuild_index(snapshots: DataFrame) -> DataFrame:
-    """Index from the stored entries alone, newest date first."""
-    return snapshots.orderBy(F.desc("issue_date"))
+def rebuild_index(archive: DataFrame, index: Callable[[DataFrame], DataFrame], index_path: str) -> None:
+    """The whole index from the archive alone: what refreshes and backfills have put there date by date, by the same function ``index`` of the rows of a date."""
+    index(archive).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("issue_date").parquet(index_path)

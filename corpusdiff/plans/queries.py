@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusdiff.functions import labels as lb
 from corpusdiff.functions import text as t
 from corpusdiff.operators import accept as ac
+from corpusdiff.operators import candidates as cd
 from corpusdiff.operators import graph as g
 from corpusdiff.operators import groups as gr
 from corpusdiff.operators import pairs as p
@@ -1114,6 +1116,78 @@ def forbidden_hits(spark, sf_dir):
     return qa.check_forbidden(found, rules).select(day(), "group_id", "label", "failure")
 
 
+# --- single operators ----------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH x AS (SELECT page_id, html, strpos(html, '<title>') AS a FROM pages), y AS (SELECT page_id, a, substr(html, a + 7) AS rest FROM x)
+    SELECT page_id, CASE WHEN a > 0 AND strpos(rest, '</title>') > 0 THEN substr(rest, 1, strpos(rest, '</title>') - 1) END AS title FROM y"""
+)
+def marked_parts(spark, sf_dir):
+    """What stands between two markers of each page, null where one is missing."""
+    return d.table(spark, sf_dir, "pages").select("page_id", t.between("html", "<title>", "</title>").alias("title"))
+
+
+_YEARS = "CASE WHEN pos % 3 = 0 THEN (1880 + pos % 230)::varchar || '年' ELSE '' END || title"
+
+
+@query(
+    f"""WITH {s.ART}, y AS (SELECT pos, {_YEARS} AS t FROM art), z AS (SELECT pos, nullif(regexp_extract(t, '^((?:19|20)[0-9]{{2}})年', 1), '') AS y FROM y)
+    SELECT pos AS doc_id, y AS leading_year, (y IS NOT NULL AND y <> '2024') AS conflict FROM z"""
+)
+def leading_years(spark, sf_dir):
+    """Titles of which every third begins with a number and the sign for year: the year, and whether it conflicts with another."""
+    year = F.when(F.col("pos") % 3 == 0, F.concat((1880 + F.col("pos") % 230).cast("string"), F.lit("年"))).otherwise(F.lit(""))
+    found = t.leading_year(F.concat(year, "title"))
+    return d.articles(spark, sf_dir).select(F.col("pos").alias("doc_id"), found.alias("leading_year"), F.coalesce(t.year_conflict(found, F.lit("2024")), F.lit(False)).alias("conflict"))
+
+
+@query(
+    """WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y/%m/%d') WHEN 2 THEN strftime(ts, '%Y-%m-%d') || ' ' ELSE strftime(ts, '%y-%m-%d') END AS d FROM events)
+    SELECT event_id, CASE WHEN regexp_full_match(d, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN d END AS issue_date FROM x"""
+)
+def written_dates(spark, sf_dir):
+    """Dates as written by four hands; only the form of the archive counts."""
+    form = F.element_at(F.array(*[F.date_format("ts", f) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM-dd ", "yy-MM-dd")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return d.table(spark, sf_dir, "events").select("event_id", ar.norm_issue_date(form).alias("issue_date"))
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
+def last_rows(spark, sf_dir):
+    """The last event of each user and type."""
+    return ar.dedupe_last(d.table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")
+
+
+@query(
+    f"""WITH {s.ART}, n AS (SELECT issue_date, count(*) AS articles FROM art GROUP BY issue_date), one AS (SELECT issue_date, count(*) AS articles FROM art WHERE day(issue_date) % 2 = 0 AND side = 'left' GROUP BY issue_date)
+    SELECT n.issue_date::varchar AS issue_date, CASE WHEN one.issue_date IS NOT NULL THEN 'first' ELSE 'second' END AS store, coalesce(one.articles, n.articles) AS articles
+    FROM n LEFT JOIN one ON one.issue_date = n.issue_date"""
+)
+def archive_stores(spark, sf_dir):
+    """Each date whole from the first store that has it: the first holds the left articles of even days, the second all, a third does not exist."""
+    rows = d.articles(spark, sf_dir).select("issue_date", "side", "id")
+    paths = [scratch_table_path(spark, name) for name in ("store", "store", "store")]
+    ar.write_snapshot(rows.filter((F.dayofmonth("issue_date") % 2 == 0) & (F.col("side") == "left")).withColumn("store", F.lit("first")), paths[0])
+    ar.write_snapshot(rows.withColumn("store", F.lit("second")), paths[2])
+    found = ar.read_with_fallback(spark, paths)
+    return found.groupBy("issue_date", "store").agg(F.count("*").alias("articles")).select(day(), "store", "articles")
+
+
+@query(f"WITH {s.ART} SELECT side AS source, issue_date::varchar AS issue_date, page_number::int AS page_number, id, title FROM art")
+def nested_issues(spark, sf_dir):
+    """Articles put into pages and issues, and taken out again."""
+    rows = d.articles(spark, sf_dir).select(F.col("side").alias("source"), "issue_date", "page_number", "id", "title")
+    pages = rows.select("source", "issue_date", "page_number").distinct()
+    return ar.flatten_articles(ar.nest_issue(pages, rows)).select("source", day(), "page_number", "id", "title")
+
+
+@query(f"WITH {s.ART} SELECT pos AS doc_id, CASE WHEN starts_with(title, 'E') AND length(title) >= 6 THEN {s.trim('substr(title, 2)')} ELSE {s.trim('title')} END AS phrase FROM art")
+def stray_letters(spark, sf_dir):
+    """Shared phrases without one stray first letter."""
+    rules = replace(R, stray_title_prefix="E")
+    return d.articles(spark, sf_dir).select(F.col("pos").alias("doc_id"), cd.clean_shared_title(F.col("title"), rules).alias("phrase"))
+
+
 # --- topics --------------------------------------------------------------------------------------------------
 
 

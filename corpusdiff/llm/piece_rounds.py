@@ -33,7 +33,7 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 CODES = 0x110000
 NONE = np.iinfo(np.int32).max
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-MEMORY_WORDS, MEMORY_IDS, MEMORY_LENGTH = 400_000, 4_000_000, 1000
+MEMORY_WORDS, MEMORY_IDS, MEMORY_LENGTH = 250_000, 2_500_000, 1000
 
 
 class Pieces:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusdiff.llm.common import discard, maybe_among, slices, stored
+from corpusdiff.llm.common import discard, maybe_among, release_memory, slices, stored
 from corpusdiff.llm.components import connected_components
 from corpusdiff.llm.nn_descent import _by_group
 
@@ -202,6 +202,7 @@ def fingerprint_links(
         band, pair, node, words = band[order], pair[order], node[order], words.reshape(len(node), -1)[order]
         group = np.cumsum(np.concatenate(([False], (band[1:] != band[:-1]) | (pair[1:] != pair[:-1]))))
         a, b = forest(group, words.view(np.uint64), max_bits)
+        release_memory()
         yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     return dealt.repartition(parts, "band", "pair").mapInArrow(search, "a long, b long").distinct()
@@ -290,7 +291,7 @@ def _verified_links(members: DataFrame, texts: DataFrame, width: int, similarity
     dealt over tasks; in each the common shingles of all pairs are counted, and the links of a spanning forest are sent.
     """
     sizes = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
-    tiles = F.greatest(F.ceil(F.col("m") / 1024), F.ceil(F.col("all") / 1_000_000)).cast("long")
+    tiles = F.greatest(F.ceil(F.col("m") / 1024), F.ceil(F.col("all") / 400_000)).cast("long")
     sizes = stored(sizes.select("component", tiles.alias("tiles")), "component-sizes")
     placed = stored(members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles"))), "placed")
 
@@ -300,6 +301,8 @@ def _verified_links(members: DataFrame, texts: DataFrame, width: int, similarity
             yield pa.RecordBatch.from_arrays(
                 [*(batch[c] for c in ("component", "node", "tiles", "own")), pa.array(sets, pa.list_(pa.int64()))], ["component", "node", "tiles", "own", "s"]
             )
+            del sets
+            release_memory()
 
     near = maybe_among(texts, F.col("key"), placed.select("key"), "near_").filter("near_").drop("near_")
     sets = near.join(placed, "key").select("component", "node", "tiles", "own", "text")
@@ -330,6 +333,8 @@ def _verified_links(members: DataFrame, texts: DataFrame, width: int, similarity
             both += has[left] @ has[right].T
         linked = both / (size[left][:, None] + size[right][None, :] - both.astype(np.float64)) >= similarity
         x, y = np.nonzero(linked)
+        del both, linked
+        release_memory()
         label = _join_labels(np.arange(len(node)), left[x], right[y])
         moved = np.flatnonzero(label != np.arange(len(node)))
         return [node[moved], node[label[moved]]]
@@ -355,6 +360,7 @@ def similar_components(
             digests = _digests(text, width)
             shingles = _shingles(digests)
             made.append((xxhash.xxh3_128_digest(shingles.tobytes()), len(shingles), _wide(digests).view(np.int64), minhash_keys(shingles).view(np.int64)))
+        release_memory()
         return pd.DataFrame(made, columns=["same", "n", "w", "keys"])
 
     key = F.unhex(F.md5(F.concat_ws("|", F.to_json(F.struct("id")), "text")))

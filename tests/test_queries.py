@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "events documents pages benchmark labels conversations".split()
+TABLES = "events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusdiff.llm.common import release_memory
+
 DIMENSIONS, GRAM, SEED = 1024, 3, 20250101
 MAX_LANGUAGES = 20_000
 UNKNOWN = "und"
@@ -181,6 +183,10 @@ def predict(text: Column, names: list[str], table: np.ndarray) -> Column:
             known = np.array([len(t) > 0 and len(names) > 0 for t in texts], bool)
             lang = np.where(known, np.array([*names, UNKNOWN], object)[np.where(known, best, len(names))], UNKNOWN)
             yield pd.DataFrame({"lang_pred": lang, "score": np.where(known, score, 0.0)})
+            del texts
+            release_memory()
+        del vectors
+        release_memory()
 
     return of(text)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusdiff.llm.common import discard, stored
+from corpusdiff.llm.common import discard, release_memory, stored
 
 BUCKETS, SHAPES = 1 << 18, 8
 LEAST_SHARE = 0.005  # of the sample texts must have a hashed word before it gets a weight
@@ -103,6 +103,7 @@ def domain_posteriors(df: DataFrame, names: list[str], weights: np.ndarray, text
             index, value, n = features(text)
             tokens.append(n)
             found.append(value @ weights[index])
+        release_memory()
         return pd.DataFrame({"n_tokens": tokens, "posterior": list(posteriors(np.stack(found)))})
 
     rest = [c for c in df.columns if c not in ("n_tokens", "posterior")]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusdiff.llm.common import stored
+from corpusdiff.llm.common import release_memory, stored
 from corpusdiff.llm.tokens import DEFAULT_PATH, encoder
 
 MAX_PLAN_LINES = 4_000_000
@@ -135,6 +135,8 @@ def pieces(
             if keep_ids:
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
+            del rows, parts, kept, table, columns
+            release_memory()
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(make, schema)
 

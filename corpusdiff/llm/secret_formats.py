@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusdiff.llm.common import stored
+from corpusdiff.llm.common import release_memory, stored
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -200,6 +200,7 @@ def spans_column(text: Column, formats: dict[str, list[_State]], threshold: floa
             spans += [(FORMAT, start, end, score) for start, end, score in scored if score >= threshold]
             order = (*KINDS, FORMAT)
             found.append([dict(zip(("kind", "start", "end", "score"), s)) for s in sorted(spans, key=lambda s: (s[1], order.index(s[0])))])
+        release_memory()
         return pd.Series(found, dtype=object)
 
     return of(text)
@@ -230,6 +231,7 @@ def mask(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
                     at = max(at, span["end"])
                 text = "".join([*parts, text[at:]])
             made.append(text)
+        release_memory()
         return pd.Series(made, dtype=object)
 
     return F.when(F.size(spans) > 0, of(text, spans)).otherwise(text)

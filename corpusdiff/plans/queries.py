@@ -942,7 +942,8 @@ def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
         side = F.when(d.source_number(F.col("source")) % 2 == 0, F.lit("left")).otherwise(F.lit("right"))
         return df.select(d.hashed_date(title).alias("issue_date"), side.alias("side"), title.alias("title"))
 
-    stream = shape(spark.readStream.schema(landed).option("pathGlobFilter", "documents.parquet").parquet(sf_dir))
+    # One file or a folder of files; a stream takes both only from a pattern.
+    stream = shape(spark.readStream.schema(landed).parquet(f"{sf_dir}/documents.parque[t]"))
     archive, index, progress = (scratch_table_path(spark, name) for name in ("refresh", "refresh-index", "refresh-progress"))
     counts = lambda rows: rows.groupBy("issue_date", "side").agg(F.count("*").alias("articles"), F.count_distinct("title").alias("titles"))
     refresh(stream, lambda: shape(d.table(spark, sf_dir, "documents")), counts, archive, progress, _index_entry, index).awaitTermination()

@@ -96,3 +96,17 @@ def test_one_sided_groups_have_terms_and_a_reason(spark):
     assert found["right_only:2:page"].top_terms == []
     single = {r.group_id: r.top_terms for r in gr.explained_unmatched(gr.unmatched_groups(articles, by_page=False), articles, R, by_page=False).collect()}
     assert single["left_only:a1"] == ["部队训练", "abcdef", "发展"] and single["right_only:b1"] == []
+
+
+def test_refresh_reads_a_table_of_many_files_and_of_one(spark, tmp_path):
+    from corpusdiff.plans.queries import QUERIES
+
+    rows = [(k, f"Title {k % 3}. More text {k}.", "en", f"src{k % 2}") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    (tmp_path / "many").mkdir()
+    (tmp_path / "one").mkdir()
+    docs.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    docs.toPandas().to_parquet(tmp_path / "one" / "documents.parquet")
+    for name, n in (("incremental_refresh", 6), ("index_after_refresh", 6)):
+        many, one = (sorted(map(tuple, QUERIES[name](spark, str(tmp_path / kind)).collect())) for kind in ("many", "one"))
+        assert len(many) == n and many == one

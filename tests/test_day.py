@@ -168,3 +168,16 @@ def test_a_decision_on_any_copy_holds_for_its_classes(spark):
     decisions = spark.createDataFrame(made, "pair_id string, matched boolean, confidence double, reason string")
     found = {r.pair_id: (r.decision_matched, r.decision_confidence, r.decision_reason) for r in ac.attach_decisions(cands, decisions, identified).collect()}
     assert found == {"pair:src:l1:src:r1": (True, 88.0, "yes"), "pair:src:l1:r9": (None, None, None)}
+
+
+def test_no_pair_of_the_pool_is_shuffled(spark, raw):
+    """Sizes and pages of classes come with the rows of a pair, so what stands above the join of the tiles needs no exchange."""
+    from corpusdiff.plans.build import candidate_pool
+
+    pool = candidate_pool(raw, R, BuildOptions())
+    plan = pool._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("array_intersect(l_keys")]
+    assert "Join" not in above.rsplit("\n", 1)[0] and {"l_copies", "r_copies", "l_page", "r_page"} <= set(pool.columns)
+    sizes = {(str(r.issue_date), r.side, r.fingerprint): (r.copies, r.page) for r in p.class_sizes(identify(raw)).collect()}
+    for r in pool.collect():
+        assert (r.l_copies, r.l_page) == sizes[str(r.issue_date), "left", r.l_fingerprint] and (r.r_copies, r.r_page) == sizes[str(r.issue_date), "right", r.r_fingerprint]

@@ -181,3 +181,18 @@ def test_no_pair_of_the_pool_is_shuffled(spark, raw):
     sizes = {(str(r.issue_date), r.side, r.fingerprint): (r.copies, r.page) for r in p.class_sizes(identify(raw)).collect()}
     for r in pool.collect():
         assert (r.l_copies, r.l_page) == sizes[str(r.issue_date), "left", r.l_fingerprint] and (r.r_copies, r.r_page) == sizes[str(r.issue_date), "right", r.r_fingerprint]
+
+
+def test_judge_rows_come_with_the_pairs(spark, raw):
+    """Both sides of a request are carried by the pairs, so these are not shuffled; the rows are those of a join, also for an id that occurs twice or has no row."""
+    from corpusdiff.plans.build import candidate_pool
+
+    flat = normalize_articles(raw, R).join(raw.select("id", F.col("analysis_text").alias("prompt_text")), "id").filter("id <> 'a003'")
+    rows = flat.unionByName(flat.filter("id = 'c000'").withColumn("prompt_text", F.lit("another  text")))
+    carried = ac.judge_input(candidate_pool(raw, R, BuildOptions(), ac.judge_sides(rows)), None, R)
+    joined = ac.judge_input(candidate_pool(raw, R, BuildOptions()), rows, R)
+    assert carried.schema == joined.schema
+    found = sorted(map(repr, carried.collect()))
+    assert found and found == sorted(map(repr, joined.collect()))
+    plan = carried._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("array_intersect(l_keys")].rsplit("\n", 1)[0]

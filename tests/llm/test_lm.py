@@ -149,3 +149,19 @@ def test_decisions_follow_the_counts_of_their_leaves():
             counts = [totals.within(key, *span) for span in paths[byte]]
             expected = [math.log((n + 0.1) / (m - n + 0.1)) for m, n in zip(counts, counts[1:])]
             assert np.allclose(logits[k, heads[g] : heads[g] + sizes[g]], expected, atol=1e-5)
+
+
+def test_mixers_trust_short_and_long_contexts_differently():
+    """Where only the short or only the long contexts are right, different mixers are the best."""
+    weights, n = np.full((c.GATES, c.ORDERS), 0.2), np.array([1, 1])
+    logits = np.array([[2.0, -1.0]] * c.SHORT + [[-2.0, 8.0]] * (c.ORDERS - c.SHORT), np.float32)
+    bits = c.gram_bits(iter([(n, logits, np.zeros(2, np.int8))]), weights)
+    assert len(set(bits.argmin(0))) == 2
+
+
+def test_the_fit_goes_on_until_its_weights_stand_still():
+    """Rare wrong branches need more than a few Newton steps; at the end the slope of the cost, with its ridge, is 0 but for single precision."""
+    logits, times = np.array([[1.0, -1.0]] * c.ORDERS, np.float32), np.array([1_000_000, 1])
+    weights = c.fit(logits, np.zeros(2, np.int64), times)[0]
+    p = 1 / (1 + np.exp(-logits.T @ weights))
+    assert np.abs(logits @ (times * (1 - p)) - (weights - 1 / c.ORDERS)).max() < 1e-6 * times.sum()

@@ -2,11 +2,15 @@
 
 import random
 import time
+import tracemalloc
 
 import pandas as pd
 import pytest
 
-from corpusdiff.operators.grouping import Bounds, group_day
+from pyspark.sql import functions as F
+
+from corpusdiff.operators.grouping import Bounds, group_day, group_pairs
+from corpusdiff.plans.driver import DRIVER_RULES
 
 PLAIN = {"plainplain"}
 
@@ -146,3 +150,30 @@ def test_one_title_of_very_many_articles_takes_time_by_its_pairs():
         assert len({k for k, _ in got(rows, Bounds()).values()}) >= n // 4
         seconds.append(time.time() - start)
     assert seconds[1] < 10 * seconds[0] + 1 and seconds[1] < 30
+
+
+def test_one_title_of_very_many_articles_takes_little_memory_a_pair():
+    n = 120
+    frame = pd.DataFrame([pair(l, r, 0.92 if (l * r) % 7 else 1.0, "exact", "title one", "title one", "exact-title:title one", [], True) for l in range(n) for r in range(n)])
+    tracemalloc.start()
+    group_day(frame, Bounds(), PLAIN)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 900 * n * n
+
+
+def test_missing_titles_keys_and_ids_of_pairs(spark):
+    """The same groups by date, by block of one frame, and through batches of several dates."""
+    rows = [r | {"issue_date": f"2024-01-{1 + k % 3:02d}"} for k in range(3) for r in made_pairs(random.Random(k), 6, 6, 0.4)]
+    for k, r in enumerate(rows):
+        if k % 5 == 0:
+            r |= {"cluster_key": None if k % 2 else "", "l_ctitle": None if k % 3 else r["l_ctitle"]}
+    schema = "issue_date string, pair_id string, l_article string, r_article string, l_pos long, r_pos long, l_ctitle string, r_ctitle string, title_kind string, cluster_key string, merge_terms array<string>, concrete boolean, accepted_confidence double"
+    frame = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema).withColumn("issue_date", F.col("issue_date").cast("date"))
+    together = {(str(r.issue_date), r.pair_id, r.group_key, r.pair_order) for r in group_pairs(frame, DRIVER_RULES).collect()}
+    days = {}
+    for r in rows:
+        days.setdefault(r["issue_date"], []).append(r)
+    plain = set(DRIVER_RULES.generic_judge_terms)
+    apart = {(d, x.pair_id, x.group_key, x.pair_order) for d, own in days.items() for x in group_day(pd.DataFrame(own), Bounds(), plain).itertuples()}
+    assert together == apart and len(days) == 3
